@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import language, mixing, secrets, warc
+from . import language, mixing, secrets, toxicity, warc
 
-MODULES = (language, mixing, secrets, warc)
+MODULES = (language, mixing, secrets, toxicity, warc)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

@@ -13,6 +13,7 @@ empty table gives no captures; columns other than page_id, url and html are igno
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -86,8 +87,18 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Write uncompressed archives; the text writer's line end is the gap that closes a record."""
-    records(pages).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", CAPTURES_PER_FILE).text(path)
+    """Write gzipped archives; the text writer's line end is the gap that closes a record."""
+    records(pages).write.option("compression", "gzip").option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", CAPTURES_PER_FILE).text(path)
+
+
+def unzipped(content: bytes) -> bytes:
+    """An archive's records, whether it is plain, one gzip member or one member per record."""
+    out = []
+    while content[:2] == b"\x1f\x8b":
+        z = zlib.decompressobj(wbits=31)
+        out.append(z.decompress(content))
+        content = z.unused_data
+    return b"".join(out) + content
 
 
 def parse(content: bytes) -> Iterator[dict]:
@@ -128,7 +139,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                for r in parse(content.as_py()):
+                for r in parse(unzipped(content.as_py())):
                     held += len(r["payload"] or b"") + 500
                     if not with_payload:
                         r["payload"] = None

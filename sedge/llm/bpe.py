@@ -8,7 +8,8 @@ first, so that the lexicon changes the speed and never a result.
 
 Defined cases: a null text is an empty text, with no tokens; special tokens' strings in a
 text are their ids, as the tokenizers library has it by default; repeated rows each give
-their row; an empty table gives none; other columns are ignored.
+their row; an empty table gives none; other columns are ignored. Characters newer than
+Python's Unicode tables may split otherwise than in the library.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Frequent words in the automaton, at most.
-LEXICON_WORDS = 32_768
+LEXICON_WORDS = 131_072
 #: Words that a task counts before it hands on the most frequent of them.
 COUNTED_WORDS = 400_000
 #: Encoded words that a worker remembers between texts.
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 300_000
 #: Words beyond so many symbols are merged one by one with a heap.
 LONG_WORD = 48
 END = "</w>"
@@ -120,50 +121,59 @@ class Tokenizer:
         return [x for x in ids if x >= 0]
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of words, all merged side by side: in each round every word takes its best pair."""
+        """Token ids of words: those of about one length are merged side by side, very long ones by themselves."""
         out: list = [None] * len(words)
-        short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
+        groups: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             if len(w) > LONG_WORD:
                 out[i] = self.merge_long(w)
-        if not short:
-            return out
-        sizes = np.array([len(words[i]) for i in short])
-        data = np.frombuffer(b"".join(words[i] for i in short), dtype=np.uint8)
+            else:
+                groups.setdefault(-(-len(w) // 4), []).append(i)
+        for at in groups.values():
+            for i, got in zip(at, self._merge_grid([words[i] for i in at]), strict=True):
+                out[i] = got
+        return out
+
+    def _merge_grid(self, words: list[bytes]) -> list[list[int]]:
+        """In each round every word takes its best pair: the least rank, leftmost first."""
+        none, nothing = 1 << 40, (1 << 31) - 1
+        sizes = np.array([len(w) for w in words])
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
         ends = np.cumsum(sizes)
-        grid = np.full((len(short), int(sizes.max())), -1, dtype=np.int64)
-        filled = np.arange(grid.shape[1]) < sizes[:, None]
+        width = int(sizes.max()) + 1
+        grid = np.full((len(words), width), nothing, dtype=np.int64)
         ids = self.inner[data]
         ids[ends - 1] = self.final[data[ends - 1]]
-        grid[filled] = ids
-        live = np.arange(len(short))
-        none = 1 << 40
-        rank, made = np.full((len(short), grid.shape[1]), none), np.full((len(short), grid.shape[1]), -1)
-        if grid.shape[1] > 1:
-            rank[:, :-1], made[:, :-1] = self.pair(grid[:, :-1], np.where(grid[:, 1:] < 0, (1 << 31) - 1, grid[:, 1:]))
+        grid[np.arange(width) < sizes[:, None]] = ids
+        rank, made = np.full(grid.shape, none), np.full(grid.shape, -1)
+        rank[:, :-1], made[:, :-1] = self.pair(grid[:, :-1], grid[:, 1:])
+        done, rows = [np.zeros((0, width), np.int64)], [np.zeros(0, np.int64)]
+        live = np.arange(len(words))
         # Each round closes the gap that the merge leaves, so that neighbours stay side by side.
-        while len(live):
-            best = rank[live].argmin(axis=1)
-            go = rank[live, best] < none
-            live, best = live[go], best[go]
-            if not len(live):
+        while True:
+            best = rank.argmin(axis=1)
+            r = np.arange(len(live))
+            go = rank[r, best] < none
+            done.append(np.pad(grid[~go], ((0, 0), (0, width - grid.shape[1])), constant_values=nothing))
+            rows.append(live[~go])
+            if not go.any():
                 break
-            grid[live, best] = made[live, best]
-            width = grid.shape[1]
-            col = np.arange(width)
-            take = np.minimum(col + (col > best[:, None]), width - 1)
-            for a, blank in ((grid, -1), (rank, none), (made, -1)):
-                rows = np.take_along_axis(a[live], take, 1)
-                rows[:, -1] = blank
-                a[live] = rows
-            for at in (best - 1, best):
-                ok = at >= 0
-                i, j = live[ok], at[ok]
-                right = np.where(j + 1 < width, grid[i, np.minimum(j + 1, width - 1)], -1)
-                r, m = self.pair(grid[i, j], np.where(right < 0, (1 << 31) - 1, right))
-                rank[i, j], made[i, j] = r, m
-        for i, row in zip(short, grid.tolist(), strict=True):
-            out[i] = [x for x in row if x >= 0]
+            live, best, grid, rank, made = live[go], best[go], grid[go], rank[go], made[go]
+            r = np.arange(len(live))
+            grid[r, best] = made[r, best]
+            keep = np.arange(grid.shape[1] - 1)
+            keep = keep + (keep > best[:, None])
+            grid, rank, made = (np.take_along_axis(x, keep, 1) for x in (grid, rank, made))
+            if grid.shape[1] == 1:
+                grid, rank, made = (np.pad(x, ((0, 0), (0, 1)), constant_values=v) for x, v in ((grid, nothing), (rank, none), (made, -1)))
+            last = grid.shape[1] - 1
+            for at, ok in ((best - 1, best > 0), (best, best < last)):
+                i, j = r[ok], at[ok]
+                rank[i, j], made[i, j] = self.pair(grid[i, j], grid[i, j + 1])
+        ended, place = np.concatenate(done), np.concatenate(rows)
+        out: list = [None] * len(words)
+        for i, row in zip(place.tolist(), ended.tolist(), strict=True):
+            out[i] = [x for x in row if x != nothing]
         return out
 
 
@@ -315,8 +325,8 @@ class Encoder:
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """For each text the number of ids, the ids and the decoded text, ids and tokens joined by a space."""
-        for a in range(0, len(texts), 64):
-            split = [self.words(t or "") for t in texts[a : a + 64]]
+        for a in range(0, len(texts), 256):
+            split = [self.words(t or "") for t in texts[a : a + 256]]
             self.learn(set().union(*split))
             seen = self.seen
             for words in split:

@@ -40,7 +40,7 @@ MOST_GROUPS = 1 << 13
 LEAF = 16
 #: Nodes under one key that one tree holds; more are dealt into blocks, and every two blocks are joined.
 BLOCK = 2048
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 U = np.uint64
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, language, mixing, multi_index, ngram_join, postings, secrets, toxicity, warc
+from . import bpe, language, mixing, multi_index, ngram_join, postings, quotes, secrets, toxicity, warc
 
-MODULES = (bpe, language, mixing, multi_index, ngram_join, postings, secrets, toxicity, warc)
+MODULES = (bpe, language, mixing, multi_index, ngram_join, postings, quotes, secrets, toxicity, warc)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

@@ -1 +1,3 @@
+"""Query operators over frames of documents."""
 
+from .pipeline import aggregate  # noqa: F401

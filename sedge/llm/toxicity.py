@@ -176,8 +176,8 @@ def _counted(df: DataFrame, id_columns: list[str]) -> DataFrame:
                     at += [i] * len(c)
                     terms += c.keys()
                     ns += c.values()
-                part = batch.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(terms, pa.string()), pa.array(ns, pa.int64())], schema.names)
+                part = batch.select(id_columns).take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(terms, pa.string()), pa.array(ns, pa.int64())], schema.names)
 
     return df.select(*id_columns, "text").mapInArrow(run, schema)
 

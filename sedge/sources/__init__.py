@@ -1 +1 @@
-
+"""Durable collections."""

@@ -1 +1 @@
-
+"""Results handed out in batches."""

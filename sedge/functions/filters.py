@@ -19,7 +19,6 @@ from ..errors import BAD_VALUE, INVALID_OPTIONS, QueryError
 from .collation import Collation
 from .paths import Scope, Value, check_path, resolve
 
-TRUE, FALSE = F.lit, F.lit
 #: Type aliases and their numeric codes.
 TYPES = {"double": 1, "string": 2, "object": 3, "array": 4, "objectId": 7, "bool": 8, "date": 9, "null": 10, "int": 16, "long": 18}
 _CODES = {v: k for k, v in TYPES.items()}
@@ -82,10 +81,12 @@ def whole(c: Column, kind: T.DataType, v, by: Collation) -> Column:
     return by.key(c, kind) == by.key(literal(v, kind), kind)
 
 
-def any_of(value: Value, test) -> Column:
+def any_of(value: Value, test, two_valued: bool = True) -> Column:
     """``test(column, type)`` of the value itself, of an array's elements, and of all that a path met."""
 
     def one(c: Column, kind: T.DataType) -> Column:
+        if not two_valued and not isinstance(kind, T.ArrayType):
+            return test(c, kind)
         p = sure(test(c, kind))
         if isinstance(kind, T.ArrayType):
             p = p | sure(F.exists(c, lambda x: sure(test(x, kind.elementType))))
@@ -219,27 +220,30 @@ def parse_operators(spec: dict) -> None:
             raise bad(f"unsupported query operator {op}")
 
 
-def matches(query: dict, scope: Scope, by: Collation | None = None) -> Column:
-    """A filter document as a boolean column that is never null."""
+def matches(query: dict, scope: Scope, by: Collation | None = None, two_valued: bool = True) -> Column:
+    """A filter document as a boolean column, never null unless ``two_valued`` is off.
+
+    Off suits ``where``, which drops nulls: what isn't negated stays a bare comparison and reaches the scan.
+    """
     parse(query)
-    return _document(query, scope, by or Collation())
+    return _document(query, scope, by or Collation(), two_valued)
 
 
-def _document(query: dict, scope: Scope, by: Collation) -> Column:
+def _document(query: dict, scope: Scope, by: Collation, tv: bool = True) -> Column:
     tests = []
     for k, v in query.items():
         if k in LOGICAL:
-            each = [_document(x, scope, by) for x in v]
+            each = [_document(x, scope, by, tv or k == "$nor") for x in v]
             joined = reduce((lambda a, b: a & b) if k == "$and" else (lambda a, b: a | b), each)
             tests.append(~joined if k == "$nor" else joined)
         else:
             check_path(k)
             spec = v if is_operators(v) else {"$regex": v} if isinstance(v, re.Pattern) else {"$eq": v}
-            tests.append(_field(resolve(scope, k), spec, by, scope, k))
+            tests.append(_field(resolve(scope, k), spec, by, scope, k, tv))
     return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
 
 
-def _field(value: Value | None, spec: dict, by: Collation, scope: Scope, path: str) -> Column:
+def _field(value: Value | None, spec: dict, by: Collation, scope: Scope, path: str, tv: bool = True) -> Column:
     tests = []
     for op, x in spec.items():
         if op == "$options":
@@ -250,7 +254,7 @@ def _field(value: Value | None, spec: dict, by: Collation, scope: Scope, path: s
         elif op in ("$ne", "$nin"):
             tests.append(~_test(value, "$eq" if op == "$ne" else "$in", x, spec, by, scope, path))
         else:
-            tests.append(_test(value, op, x, spec, by, scope, path))
+            tests.append(_test(value, op, x, spec, by, scope, path, tv))
     return reduce(lambda a, b: a & b, tests)
 
 
@@ -262,30 +266,31 @@ def _missing(value: Value | None) -> Column:
     return value.col.isNull()
 
 
-def _equal(value: Value | None, x, by: Collation) -> Column:
+def _equal(value: Value | None, x, by: Collation, tv: bool = True) -> Column:
     if isinstance(x, re.Pattern):
-        return _regex(value, java_regex(x))
+        return _regex(value, java_regex(x), tv)
     if x is None:
         nulls = F.lit(False) if value is None or not isinstance(value.type, T.ArrayType) or value.many else sure(F.exists(value.col, lambda e: e.isNull()))
         return sure(_missing(value)) | nulls
-    return F.lit(False) if value is None else any_of(value, lambda c, kind: whole(c, kind, x, by))
+    return F.lit(False) if value is None else any_of(value, lambda c, kind: whole(c, kind, x, by), tv)
 
 
-def _regex(value: Value | None, pattern: str) -> Column:
-    return F.lit(False) if value is None else any_of(value, lambda c, kind: c.rlike(pattern) if isinstance(kind, T.StringType) else F.lit(False))
+def _regex(value: Value | None, pattern: str, tv: bool = True) -> Column:
+    return F.lit(False) if value is None else any_of(value, lambda c, kind: c.rlike(pattern) if isinstance(kind, T.StringType) else F.lit(False), tv)
 
 
 def _plain(value: Value | None) -> bool:
     return value is not None and not value.many and not isinstance(value.type, (T.ArrayType, T.StructType))
 
 
-def _test(value: Value | None, op: str, x, spec: dict, by: Collation, scope: Scope, path: str) -> Column:
+def _test(value: Value | None, op: str, x, spec: dict, by: Collation, scope: Scope, path: str, tv: bool = True) -> Column:
     if op == "$eq":
-        return _equal(value, x, by)
+        return _equal(value, x, by, tv)
     if op == "$in":
         scalars = [v for v in x if _plain(value) and comparable(value.type, v)]
         if scalars and not by.folds and not any(isinstance(v, re.Pattern) for v in x):
-            found = sure(value.col.isin([literal(v, value.type) for v in scalars] if isinstance(value.type, T.TimestampNTZType) else scalars))
+            found = value.col.isin([literal(v, value.type) for v in scalars] if isinstance(value.type, T.TimestampNTZType) else scalars)
+            found = sure(found) if tv else found
             return found | _equal(value, None, by) if None in x else found
         return reduce(lambda a, b: a | b, [_equal(value, v, by) for v in x], F.lit(False))
     if op == "$exists":
@@ -296,9 +301,9 @@ def _test(value: Value | None, op: str, x, spec: dict, by: Collation, scope: Sco
             raise QueryError(INVALID_OPTIONS, "string range filters are not supported with this collation")
         if value is None or x is None:
             return F.lit(False) if x is not None or op in ("$gt", "$lt") else _equal(value, None, by)
-        return any_of(value, lambda c, kind: getattr(c, BOUNDS[op])(literal(x, kind)) if comparable(kind, x) else F.lit(False))
+        return any_of(value, lambda c, kind: getattr(c, BOUNDS[op])(literal(x, kind)) if comparable(kind, x) else F.lit(False), tv)
     if op == "$regex":
-        return _regex(value, java_regex(x, spec.get("$options", "")))
+        return _regex(value, java_regex(x, spec.get("$options", "")), tv)
     if op == "$type":
         wanted = _types(x)
         metadata = scope.schema[path].metadata if scope.has(path) else {}

@@ -36,7 +36,7 @@ def members(df: DataFrame, keys: list[str], sparse: bool = False, partial: dict
     """The documents that an index holds."""
     if partial:
         check_partial(partial)
-        df = df.where(filters.matches(partial, Scope.of(df)))
+        df = df.where(filters.matches(partial, Scope.of(df), two_valued=False))
     if sparse:
         for k in keys:
             v = resolve(Scope.of(df), k)

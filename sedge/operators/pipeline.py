@@ -147,7 +147,7 @@ def _order_shows(rest: list[tuple[str, object]]) -> bool:
 
 def _run(frame: Frame, name: str, spec, lookup, by: Collation, shows: bool) -> Frame:
     if name == "$match":
-        return frame.where(filters.matches(spec, Scope.of(frame.df), by))
+        return frame.where(filters.matches(spec, Scope.of(frame.df), by, two_valued=False))
     if name == "$sort":
         return shaping.sort(frame, spec, by)
     if name == "$skip":
@@ -230,10 +230,7 @@ def group(frame: Frame, spec: dict, by: Collation, shows: bool) -> Frame:
         if op == "$sum" and filters.is_number(e):
             made.append((F.count(F.lit(1)) * e).alias(k))
             continue
-        if op == "$push" and isinstance(e, dict) and expressions.operator_of(e) is None:
-            c, kind = expressions.compile(e, scope, by)
-        else:
-            c, kind = expressions.compile(e, scope, by)
+        c, kind = expressions.compile(e, scope, by)
         made.append(_accumulator(op, c, kind, key).alias(k))
     first = [F.min(key).alias(frame.fresh() + "g")] if shows else []
     if not made and not first:

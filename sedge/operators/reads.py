@@ -19,7 +19,7 @@ def find(df: DataFrame, query: dict | None = None, projection: dict | None = Non
     skip, limit = shaping.check_count("skip", skip), shaping.check_count("limit", limit)
     if projection:
         shaping.mode(projection)
-    frame = Frame(df).where(filters.matches(query or {}, Scope.of(df), by))
+    frame = Frame(df).where(filters.matches(query or {}, Scope.of(df), by, two_valued=False))
     if sort:
         frame = shaping.sort(frame, sort, by)
     if skip or limit:
@@ -33,7 +33,7 @@ def count(df: DataFrame, query: dict | None = None, skip: int = 0, limit: int =
     """One row n. Skips and limits are arithmetic on the count: no rows move."""
     skip, limit = shaping.check_count("skip", skip), shaping.check_count("limit", limit)
     n = F.greatest(F.count(F.lit(1)) - skip, F.lit(0))
-    found = df.where(filters.matches(query or {}, Scope.of(df), Collation.parse(collation)))
+    found = df.where(filters.matches(query or {}, Scope.of(df), Collation.parse(collation), two_valued=False))
     return found.agg((F.least(n, F.lit(limit)) if limit else n).cast("long").alias("n"))
 
 
@@ -41,7 +41,7 @@ def distinct(df: DataFrame, field: str, query: dict | None = None, collation=Non
     """One column ``value``: distinct values, array elements each, missing ones left out. Collated strings keep the first seen."""
     check_path(field)
     by = Collation.parse(collation)
-    found = df.where(filters.matches(query or {}, Scope.of(df), by))
+    found = df.where(filters.matches(query or {}, Scope.of(df), by, two_valued=False))
     v = resolve(Scope.of(found), field)
     if v is None:
         return found.sparkSession.createDataFrame([], "value string")

@@ -13,6 +13,7 @@ from ..errors import BAD_VALUE, QueryError
 from ..functions import expressions, filters
 from ..functions.collation import Collation
 from ..functions.paths import Scope, Value, resolve, with_path
+from ..sources.catalog import cast_to, merged
 from . import pipeline as stages
 from . import shaping
 from .frame import Frame
@@ -203,7 +204,14 @@ def _modified(df: DataFrame, query: dict, update: dict, array_filters: list, hit
     def put(df: DataFrame, name: str, new: Column | None) -> DataFrame:
         if new is None:
             return df.drop(name)
-        return df.withColumn(name, F.when(hit, new).otherwise(F.col(f"`{name}`")) if name in df.columns else F.when(hit, new))
+        if name not in df.columns:
+            return df.withColumn(name, F.when(hit, new))
+        old, have = F.col(f"`{name}`"), df.schema[name].dataType
+        want = df.select(new.alias("n")).schema["n"].dataType
+        if not isinstance(want, T.NullType) and want != have:
+            kind = merged(have, want)
+            old, new = cast_to(old, have, kind), cast_to(new, want, kind)
+        return df.withColumn(name, F.when(hit, new).otherwise(old))
 
     for op, spec in update.items():
         if op == "$setOnInsert":
@@ -267,9 +275,11 @@ def flagged(df: DataFrame, query: dict, update, multi: bool = True, array_filter
             old = F.col("__old").getField(c) if c in columns else F.lit(None)
             picked.append((old if c == "_id" else F.when(hit, F.col(f"`{c}`")).otherwise(old) if c in new.columns else F.when(~hit, old)).alias(c))
         out = new.select(*picked, "__hit", "__old")
-    old = F.struct(*[F.col("__old").getField(c).alias(c) if c in columns else F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns if not c.startswith("__")])
-    now = F.struct(*[F.col(f"`{c}`") for c in out.columns if not c.startswith("__")])
-    return out.withColumn("__changed", hit & ~old.cast(out.select(now.alias("n")).schema["n"].dataType).eqNullSafe(now))
+    names = [c for c in out.columns if not c.startswith("__")]
+    before = df.schema["__old"].dataType
+    old = F.struct(*[cast_to(F.col("__old").getField(c), before[c].dataType, out.schema[c].dataType).alias(c) if c in columns else F.lit(None).cast(out.schema[c].dataType).alias(c) for c in names])
+    # Nulls within documents of another shape aren't changes.
+    return out.withColumn("__changed", hit & ~old.eqNullSafe(F.struct(*[F.col(f"`{c}`") for c in names])))
 
 
 def base_document(query: dict) -> dict:

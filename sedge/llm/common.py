@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -10,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words are runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Deletes a query's shuffle files as it ends; what is written needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: list[str] = []
 
 
@@ -41,9 +45,37 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there, and it survives lost executors."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch(spark, label)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shielded(work):
+    """A function of documents whose own column names can't clash with any that documents bring.
+
+    ``work`` sees doc_id, text, lang, source and n_chars under their names and all others under names of no
+    meaning; its result gets the names back. Documents may even repeat a name.
+    """
+
+    @functools.wraps(work)
+    def run(docs: DataFrame) -> DataFrame:
+        names, seen = docs.columns, set()
+        inner = []
+        for i, c in enumerate(names):
+            inner.append(c if c in ("doc_id", "text", "lang", "source", "n_chars") and c not in seen else f"brought{i}")
+            seen.add(c)
+        return work(docs.toDF(*inner)).toDF(*names)
+
+    return run
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

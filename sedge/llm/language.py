@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shielded, table
 
 UNKNOWN = "und"
 #: About so many labelled rows are learned from, chosen by a hash of their id.
@@ -248,6 +248,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEAST_SCORE = 0.4
 
 
+@shielded
 def kept(docs: DataFrame) -> DataFrame:
     """Documents whose language is known and certain enough, with their own columns."""
     names = [f"_c{i}" for i in range(len(docs.columns))]

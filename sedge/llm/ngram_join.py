@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_kept, keep, table
+from .common import drop_kept, keep, shielded, table
 from .components import components
 
 WORDS = 5
@@ -36,7 +36,11 @@ LEAST = 75
 KEYS = 24
 #: Groups of the tree's points; larger sets have a power of two times as many, folded to these for the tree.
 GROUPS = 64
-MOST_GROUPS = 1 << 13
+MOST_GROUPS = 1 << 16
+#: A count that a byte can't hold; it bounds nothing.
+MANY = 255
+#: Ids that are broadcast to a scan, at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 LEAF = 16
 #: Nodes under one key that one tree holds; more are dealt into blocks, and every two blocks are joined.
 BLOCK = 2048
@@ -109,9 +113,15 @@ def _shingles(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def counts(h: np.ndarray) -> bytes:
-    """Counts by group of a set; the number of groups is a power of two, near a quarter of the set's size."""
-    groups = min(MOST_GROUPS, max(GROUPS, 1 << max(0, (len(h) // 4).bit_length() - 1)))
-    return np.bincount((h & U(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint32).tobytes()
+    """Counts by group of a set, a byte each; the number of groups is a power of two from half the set's size."""
+    groups = min(MOST_GROUPS, max(GROUPS, 1 << max(0, len(h) // 2 - 1).bit_length()))
+    return np.minimum(np.bincount((h & U(groups - 1)).astype(np.int64), minlength=groups), MANY).astype(np.uint8).tobytes()
+
+
+def point(data) -> np.ndarray:
+    v = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+    v[v == MANY] = 1 << 24
+    return v
 
 
 def folded(vector: np.ndarray, groups: int) -> np.ndarray:
@@ -127,7 +137,7 @@ class Tree:
     """A packed R-tree over count vectors: leaves of points alike in size and strongest coordinate, boxes by their maxima."""
 
     def __init__(self, sizes: np.ndarray, vectors: list[np.ndarray]):
-        base = np.stack([folded(v, GROUPS) for v in vectors]).astype(np.int32)
+        base = np.stack([folded(v, GROUPS) for v in vectors])
         order = np.argsort(sizes, kind="stable")
         strip = max(LEAF, int(np.ceil(np.sqrt(len(order) / LEAF))) * LEAF)
         wide = base.var(axis=0).argmax()
@@ -209,8 +219,11 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, node long, keys array<long>, counts binary")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, set) of the wanted (node, row)."""
+def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, set) of the nodes in ``pairs``, made anew from their texts."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node")
+    wanted = keep(wanted, "wanted")
+    small = wanted.count() <= BROADCAST_ROWS
 
     def run(batches):
         for batch in batches:
@@ -218,7 +231,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 part = batch.slice(a, 500)
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([h.tobytes() for h in shingles(part.column("text").to_pylist())], pa.binary())], ["node", "set"])
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), "text").join(wanted, "row").select("node", "text").mapInArrow(run, "node long, set binary")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "text")
+    return texts.join(F.broadcast(wanted) if small else wanted, "row").select("node", "text").mapInArrow(run, "node long, set binary")
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -230,17 +244,19 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             na, nb = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
             most = np.zeros(batch.num_rows, dtype=np.int64)
             for i, (x, y) in enumerate(zip(batch.column("c_a"), batch.column("c_b"), strict=True)):
-                v, w = np.frombuffer(x.as_buffer(), dtype=np.uint32), np.frombuffer(y.as_buffer(), dtype=np.uint32)
+                v, w = point(x.as_buffer()), point(y.as_buffer())
                 g = min(len(v), len(w))
                 most[i] = np.minimum(folded(v, g), folded(w, g)).sum()
             yield batch.select(["a", "b"]).filter(pa.array(most >= needed(na, nb)))
 
-    near = F.expr(f"n_a * 100 >= n_b * {LEAST} and n_b * 100 >= n_a * {LEAST}")
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(near).mapInArrow(run, "a long, b long")
+    likely = F.expr(f"n_a * 100 >= n_b * {LEAST} and n_b * 100 >= n_a * {LEAST}")
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(likely).mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sets are similar enough."""
+    pairs = keep(pairs, "pairs")
+    sets = keep(_sets(docs, nodes, pairs), "sets")
 
     def run(batches):
         for batch in batches:
@@ -253,7 +269,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     of = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"s_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long")
+    out = keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long"), "verified")
+    drop_kept(sets)
+    return out
 
 
 def _tree_pairs(shared: DataFrame, nodes: DataFrame, parts: DataFrame, every: bool) -> DataFrame:
@@ -270,7 +288,7 @@ def _tree_pairs(shared: DataFrame, nodes: DataFrame, parts: DataFrame, every: bo
     def pairs_of(group: pa.Table):
         own, node, part = (group.column(c).to_numpy() for c in ("own", "node", "component"))
         n = group.column("n").to_numpy()
-        vectors = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for c in group.column("counts").chunks for x in c]
+        vectors = [point(x.as_buffer()) for c in group.column("counts").chunks for x in c]
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         halves = [np.flatnonzero(own == x) for x in ([i] if i == j else [i, j])]
         if not all(len(h) for h in halves):
@@ -319,26 +337,27 @@ def linked(docs: DataFrame) -> DataFrame:
     found = keep(signatures(docs), "signatures")
     nodes = found.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("counts").alias("counts"))
     nodes = keep(nodes, "nodes")
+    rows_of = keep(found.select("row", "doc_id", "n", "node"), "rows")
+    drop_kept(found)
     by_key = nodes.select(F.explode("keys").alias("key"), "node")
     keys = by_key.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least")).where("m > 1").select("key", "least")
     shared = keep(by_key.join(keys, "key"), "shared")
-    sets = keep(_sets(docs, shared.select("node").distinct().join(nodes.select("node", "row"), "node")), "sets")
-    stars = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = [keep(_verified(_bounded(stars, nodes), sets), "star")]
-    parts = keep(components(links[0]), "parts")
+    # Each node meets the least node of the key group with which it shares most keys.
+    met = shared.where("node <> least").groupBy("node", "least").agg(F.count(F.lit(1)).alias("m"))
+    stars = met.groupBy("node").agg(F.max(F.struct("m", (-F.col("least")).alias("least"))).alias("most")).select((-F.col("most.least")).alias("a"), F.col("node").alias("b"))
+    parts = keep(components(_verified(_bounded(stars, nodes), nodes, docs)), "parts")
     for every in (False, True):
-        links.append(keep(_verified(_tree_pairs(shared, nodes, parts, every), sets), "tree"))
-        if links[-1].isEmpty():
-            break
-        # Components so far, each a star, with the links that have been found since.
-        parts = keep(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links[-1])), "parts")
-    for t in (sets, shared):
-        drop_kept(t)
-    rows = found.select("row", "doc_id", "n", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+        more = _verified(_tree_pairs(shared, nodes, parts, every), nodes, docs)
+        if not more.isEmpty():
+            # Components so far, each a star, with the links that have been found since.
+            parts = keep(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "parts")
+    drop_kept(shared)
+    rows = rows_of.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     least = rows.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "part", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+@shielded
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each component, the first row of its least doc_id; the columns of ``docs``."""
     rows = linked(docs)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import keep, shielded, table
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Whole runs at their least length are the same matches as any run with a later test of its length.
@@ -146,6 +146,7 @@ def _joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+@shielded
 def redacted(docs: DataFrame) -> DataFrame:
     """Documents with every span, overlapping ones as one, replaced by a mark; n_chars follows."""
     columns = docs.columns

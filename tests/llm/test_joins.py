@@ -57,7 +57,7 @@ def test_tree_loses_no_pair():
     base = [rng.integers(0, 2**63, rng.integers(5, 900)).astype(np.uint64) for _ in range(30)]
     sets = [np.unique(np.concatenate([b[: int(len(b) * rng.uniform(0.8, 1))], rng.integers(0, 2**63, rng.integers(0, 5)).astype(np.uint64)])) for b in base for _ in range(6)]
     n = np.array([len(s) for s in sets])
-    tree = ngram_join.Tree(n, [np.frombuffer(ngram_join.counts(s), dtype=np.uint32) for s in sets])
+    tree = ngram_join.Tree(n, [ngram_join.point(ngram_join.counts(s)) for s in sets])
     found = {tuple(sorted((int(tree.order[x]), int(tree.order[y])))) for i, j, _ in ngram_join.joined(tree, tree, lambda i, j: i >= 0) for x, y in zip(i, j)}
     want = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(k := np.intersect1d(sets[a], sets[b])) >= 75 * (n[a] + n[b] - len(k))}
     assert want <= found and len(found) < len(sets) * (len(sets) - 1) / 4

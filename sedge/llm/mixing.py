@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, keep, table
+from .common import WORD, keep, shielded, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5  # of all words
@@ -100,7 +100,7 @@ def mix(sizes: DataFrame, pieces: bool = False) -> DataFrame:
     first, last = F.floor(F.col("start") / BLOCK_WORDS), F.floor((F.col("end") - 1) / BLOCK_WORDS)
     kept = ["row", "doc_id", "size", "source_size", "target"]
     parts = placed.select(*kept, "idx", "shard", "start", "end", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))).alias("block"))
-    parts = parts.join(chosen, ["idx", "shard", "block"], "left")
+    parts = parts.join(chosen.hint("merge"), ["idx", "shard", "block"], "left")  # the list of blocks grows with the words: never broadcast
     at = F.greatest(F.col("start"), F.col("block") * BLOCK_WORDS)
     n = F.least(F.col("end"), (F.col("block") + 1) * BLOCK_WORDS) - at
     parts = parts.select(*kept, (at - F.col("start")).alias("at"), n.alias("n"), F.coalesce("times", F.lit(0)).cast("long").alias("times"))
@@ -108,6 +108,7 @@ def mix(sizes: DataFrame, pieces: bool = False) -> DataFrame:
     return parts.groupBy(*kept).agg(F.coalesce(F.sum(F.col("n") * F.col("times")), F.lit(0)).cast("long").alias("taken"), *more)
 
 
+@shielded
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each time a document is used.
 

@@ -9,8 +9,9 @@ The tree is built where points can meet: under each of a set's least shingle has
 linked sets have one of these in common for certain when a set's hashes are all of its
 prefix (sets up to 4 * (KEYS - 1) shingles), and but for a chance of 4 ** -KEYS beyond. Equal
 sets are one node. Nodes first meet the least node of each key; what that leaves apart is
-joined by the tree, one pair for each two components, then all pairs that remain, so that
-no group of copies is written out as pairs and no link between components is lost.
+joined by the tree, each component by its likeliest pair while that links many, then all pairs
+that remain between components, so that no group of copies is written out as pairs and no
+link between components is lost.
 
 Defined cases: null and empty texts, and texts of white space, have no shingles and are
 linked with nothing, not even each other; repeated rows are equal sets; an empty table gives
@@ -39,6 +40,8 @@ GROUPS = 64
 MOST_GROUPS = 1 << 16
 #: A count that a byte can't hold; it bounds nothing.
 MANY = 255
+#: Share of nodes that a round of likeliest pairs must link for another such round.
+MERGING = 0.01
 #: Ids that are broadcast to a scan, at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 LEAF = 16
@@ -143,6 +146,7 @@ class Tree:
         wide = base.var(axis=0).argmax()
         order = np.concatenate([s[np.argsort(base[s, wide], kind="stable")] for s in (order[i : i + strip] for i in range(0, len(order), strip))])
         self.order, self.sizes, self.base, self.vectors = order, sizes[order], base[order], [vectors[i] for i in order]
+        self.groups, self.folds = np.array([len(v) for v in self.vectors]), {}
         #: By level from the points up: least and greatest size and the coordinates' maxima of each box.
         self.levels = [(self.sizes, self.sizes, self.base)]
         while len(self.levels[-1][0]) > 1:
@@ -153,6 +157,15 @@ class Tree:
     def level(self, k: int):
         return self.levels[min(k, len(self.levels) - 1)]
 
+    def at(self, groups: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows by point and counts, folded to so many groups, of the points that have as many."""
+        if groups not in self.folds:
+            has = np.flatnonzero(self.groups >= groups)
+            row = np.full(len(self.groups), -1)
+            row[has] = np.arange(len(has))
+            self.folds[groups] = (row, np.stack([folded(self.vectors[x], groups) for x in has]))
+        return self.folds[groups]
+
 
 def joined(left: Tree, right: Tree, apart) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of points (positions in each tree) that their counts don't rule out, with the most they could share beyond need.
@@ -177,13 +190,16 @@ def joined(left: Tree, right: Tree, apart) -> Iterator[tuple[np.ndarray, np.ndar
         if not len(i):
             return
         if level == 0:
-            fine = np.ones(len(i), bool)
-            for n, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-                v, w = left.vectors[x], right.vectors[y]
-                g = min(len(v), len(w))
-                if g > GROUPS:
-                    slack[n] = np.minimum(folded(v, g), folded(w, g)).sum() - needed(left.sizes[x], right.sizes[y])
-                    fine[n] = slack[n] >= 0
+            # As many groups as both points have; all pairs of one number of groups at once.
+            common = np.minimum(left.groups[i], right.groups[j])
+            for g in np.unique(common[common > GROUPS]).tolist():
+                of = np.flatnonzero(common == g)
+                (p, v), (q, w) = left.at(g), right.at(g)
+                step = max(1, (1 << 21) // g)
+                for c in range(0, len(of), step):
+                    own = of[c : c + step]
+                    slack[own] = np.minimum(v[p[i[own]]], w[q[j[own]]]).sum(axis=1) - needed(left.sizes[i[own]], right.sizes[j[own]])
+            fine = slack >= 0
             yield i[fine], j[fine], slack[fine]
             return
         for s in range(0, len(i), 256):
@@ -277,7 +293,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 def _tree_pairs(shared: DataFrame, nodes: DataFrame, parts: DataFrame, every: bool) -> DataFrame:
     """Pairs of nodes in different components that meet under a key and that the tree doesn't rule out.
 
-    ``every`` false gives the likeliest pair for each two components that a tree joins.
+    ``every`` false gives the likeliest pair of each component under each tree, so that pairs grow as the rows do.
     """
     rows = shared.select("key", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
@@ -301,10 +317,10 @@ def _tree_pairs(shared: DataFrame, nodes: DataFrame, parts: DataFrame, every: bo
             return None
         a, b, slack = left[np.concatenate([f[0] for f in found])], right[np.concatenate([f[1] for f in found])], np.concatenate([f[2] for f in found])
         if not every:
-            lo, hi = np.minimum(part[a], part[b]), np.maximum(part[a], part[b])
-            best = np.lexsort((node[b], node[a], -slack, hi, lo))
-            first = np.concatenate([[True], (lo[best][1:] != lo[best][:-1]) | (hi[best][1:] != hi[best][:-1])])
-            a, b = a[best[first]], b[best[first]]
+            whose, pair = np.concatenate([part[a], part[b]]), np.tile(np.arange(len(a)), 2)
+            best = np.lexsort((node[b[pair]], node[a[pair]], -slack[pair], whose))
+            first = np.unique(pair[best[np.concatenate([[True], whose[best][1:] != whose[best][:-1]])]])
+            a, b = a[first], b[first]
         return np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
 
     def run(batches):
@@ -346,11 +362,17 @@ def linked(docs: DataFrame) -> DataFrame:
     met = shared.where("node <> least").groupBy("node", "least").agg(F.count(F.lit(1)).alias("m"))
     stars = met.groupBy("node").agg(F.max(F.struct("m", (-F.col("least")).alias("least"))).alias("most")).select((-F.col("most.least")).alias("a"), F.col("node").alias("b"))
     parts = keep(components(_verified(_bounded(stars, nodes), nodes, docs)), "parts")
-    for every in (False, True):
+    every, n = False, nodes.count()
+    while True:
         more = _verified(_tree_pairs(shared, nodes, parts, every), nodes, docs)
-        if not more.isEmpty():
+        found = more.count()
+        if found:
             # Components so far, each a star, with the links that have been found since.
             parts = keep(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "parts")
+        if every:
+            break
+        # While components still grow together by their likeliest pairs, fewer pairs are left to write out.
+        every = found <= MERGING * n
     drop_kept(shared)
     rows = rows_of.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     least = rows.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"))

@@ -65,42 +65,59 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, p).otherwise(1 - p)
 
 
-def battery(token: Column, alphabet: str) -> Column:
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed, and written into the plan, once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def battery(token: Column, alphabet: Column | str) -> Column:
     """The least of three tests' p-values times three: small where a token isn't random in its alphabet."""
-    k, n = len(alphabet), F.length(token).cast("double")
-    values = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double") - 1)
-    squares = F.aggregate(F.transform(F.array(*[F.lit(c) for c in alphabet]), lambda c: F.length(token) - F.length(F.replace(token, c, F.lit("")))), F.lit(0.0), lambda a, x: a + x * x)
-    spread = (squares * k / n - n) / (k - 1)  # chi-squared over its degrees of freedom
-    v = 2 / (9.0 * (k - 1))
-    chi = upper_tail((F.pow(spread, F.lit(1 / 3)) - (1 - v)) / v**0.5)
-    middle = (k - 1) / 2
-    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
-    later = F.slice(values, F.lit(2), F.size(values) - 1)
-    pairs = F.zip_with(F.slice(values, F.lit(1), F.size(values) - 1), later, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    runs = 1 + F.size(F.filter(pairs, lambda p: (p["a"] > middle) != (p["b"] > middle)))
-    high = F.size(F.filter(values, lambda x: x > middle)).cast("double")
-    want = 2 * high * (n - high) / n + 1
-    var = (want - 1) * (want - 2) / (n - 1)
-    of_runs = F.when(var > 0, 2 * upper_tail(F.abs((runs - want) / F.sqrt(var)))).otherwise(F.lit(1e-30))
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    cross = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - mean) * (p["b"] - mean))
-    serial = F.when(total > 0, 2 * upper_tail(F.abs((cross / total + 1 / n) * F.sqrt(n)))).otherwise(F.lit(1e-30))
-    return F.least(F.lit(1.0), 3 * F.least(chi, of_runs, serial))
+    alphabet = F.lit(alphabet) if isinstance(alphabet, str) else alphabet
+    add = lambda a, x: a + x
+
+    def tests(s: Column) -> Column:
+        k, n, mean, values, pairs = (s[c] for c in ("k", "n", "mean", "values", "pairs"))
+        middle = (k - 1) / 2
+        squares = F.aggregate(F.transform(F.split(s["alphabet"], ""), lambda c: F.length(s["token"]) - F.length(F.replace(s["token"], c, F.lit("")))), F.lit(0.0), lambda a, x: a + x * x)
+        spread = (squares * k / n - n) / (k - 1)  # chi-squared over its degrees of freedom
+        high = F.size(F.filter(values, lambda x: x > middle)).cast("double")
+        runs = 1 + F.size(F.filter(pairs, lambda p: (p["a"] > middle) != (p["b"] > middle)))
+        total = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+        cross = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - mean) * (p["b"] - mean))
+        want = 2 * high * (n - high) / n + 1
+        facts = F.struct(spread.alias("spread"), (2 / (9 * (k - 1))).alias("v"), runs.cast("double").alias("runs"), want.alias("want"), total.alias("total"), cross.alias("cross"), n.alias("n"))
+        return let(facts, scores)
+
+    def scores(f: Column) -> Column:
+        none = F.lit(float("inf"))
+        var = (f["want"] - 1) * (f["want"] - 2) / (f["n"] - 1)
+        z = F.array(
+            (F.pow(f["spread"], F.lit(1 / 3)) - (1 - f["v"])) / F.sqrt(f["v"]),
+            F.when(var > 0, F.abs((f["runs"] - f["want"]) / F.sqrt(var))).otherwise(none),
+            F.when(f["total"] > 0, F.abs((f["cross"] / f["total"] + 1 / f["n"]) * F.sqrt(f["n"]))).otherwise(none),
+        )
+        # The first test is one-sided, the others are two-sided.
+        p = F.transform(z, lambda x, i: F.when(x > 37, F.lit(1e-300)).otherwise(upper_tail(x)) * F.when(i == 0, 1).otherwise(2))
+        return F.least(F.lit(1.0), 3 * F.array_min(p))
+
+    values = F.transform(F.split(token, ""), lambda c: F.instr(alphabet, c).cast("double") - 1)
+    paired = lambda v: F.struct(v.alias("values"), F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("pairs"), (F.aggregate(v, F.lit(0.0), add) / F.size(v)).alias("mean"))
+    whole = lambda s: F.struct(s["values"].alias("values"), s["pairs"].alias("pairs"), s["mean"].alias("mean"), F.length(alphabet).cast("double").alias("k"), F.size(s["values"]).cast("double").alias("n"), token.alias("token"), alphabet.alias("alphabet"))
+    return let(let(let(values, paired), whole), tests)
 
 
 def _tested(token: Column) -> Column:
     """Family and level of a token; null where it doesn't mix letters and digits."""
-    body = F.regexp_replace(token, "=+$", "")
-    size = F.length(body)
-    length = F.when(size >= LENGTHS[2], LENGTHS[2]).when(size >= LENGTHS[1], LENGTHS[1]).otherwise(LENGTHS[0])
-    out = None
-    for name, pattern, alphabet in ENCODINGS:
-        p = battery(body, alphabet)
-        level = F.least(F.lit(LEVELS), F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-300))))).cast("int")
-        this = F.struct(F.concat_ws(":", F.lit(name), length.cast("string")).alias("family"), level.alias("level"))
-        fits = body.rlike(pattern)
-        out = F.when(fits, this) if out is None else out.when(fits, this)
-    return F.when(body.rlike("[0-9]") & body.rlike("[A-Za-z]") & (size >= LENGTHS[0]), out)
+
+    def of(body: Column) -> Column:
+        size = F.length(body)
+        length = F.when(size >= LENGTHS[2], LENGTHS[2]).when(size >= LENGTHS[1], LENGTHS[1]).otherwise(LENGTHS[0])
+        encoding = F.coalesce(*[F.when(body.rlike(pattern), F.struct(F.lit(name).alias("name"), F.lit(alphabet).alias("alphabet"))) for name, pattern, alphabet in ENCODINGS])
+        level = lambda p: F.least(F.lit(LEVELS), F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-300))))).cast("int")
+        scored = lambda e: F.struct(F.concat_ws(":", e["name"], length.cast("string")).alias("family"), let(battery(body, e["alphabet"]), level).alias("level"))
+        return F.when(body.rlike("[0-9]") & body.rlike("[A-Za-z]") & (size >= LENGTHS[0]), let(encoding, scored))
+
+    return let(F.regexp_replace(token, "=+$", ""), of)
 
 
 def scanned(docs: DataFrame) -> DataFrame:

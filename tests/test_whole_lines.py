@@ -1,0 +1,26 @@
+import duckdb
+import pytest
+from test_registered import plain
+
+from sedge.plans.registered import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.01"
+NAMES = """match_elem_doc match_dotted_array match_all_array match_all_elem project_nested unset_nested group_push distinct_array
+update_push update_add_to_set update_pop update_pull update_pull_all update_array_all update_array_filters update_positional""".split()
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_whole_lineitem_is_read(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    whole = f"{name}_whole"
+    assert ORACLES[whole] == ORACLES[name].replace(" WHERE l_orderkey < 2000", "")
+    got, want = QUERIES[whole](spark, SF).toPandas(), con.execute(ORACLES[whole]).df()
+    rows = lambda df: sorted(repr([plain(v) for v in r]) for r in df[sorted(df.columns)].astype(object).values.tolist())
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+    # All orders, or for the matches more than the bounded query finds.
+    keys = con.execute("SELECT count(DISTINCT l_orderkey) FROM lineitem").fetchone()[0]
+    if name.startswith(("match", "distinct")):
+        assert len(got) > len(con.execute(ORACLES[name]).df())
+    else:
+        assert len(got) == keys or name == "update_positional"

@@ -2,10 +2,12 @@
 
 A line's leading ``>`` marks give its quote level; runs of lines of one level are
 passages. A quoted passage is normalised (case, punctuation and white space) and hashed; an
-original passage is one of level 0, whole or line by line, and its first message in the
-conversation is its origin. A message replies to the earlier message that is the origin
-of a passage it quotes; among several, the shallowest quote level, then the latest origin,
-counts. Replies make trees; a message stands after what it replies to, siblings by turn.
+original passage is one of level 0, whole, by paragraph or line by line, and its first message in
+the conversation is its origin. A quoted passage of several lines or paragraphs is also held by a
+message that says them in this order, with others between or around them; one that no earlier
+message holds counts by its single lines and paragraphs. A message replies to the earlier message
+that is the origin of a passage it quotes; among several, the shallowest quote level, then the
+latest origin, counts. Replies make trees; a message stands after what it replies to, siblings by turn.
 
 Defined cases: a null text is an empty text; messages without a quote that is found reply to none
 and stand by turn, null turns first; equal turns are told apart by their row; null
@@ -30,39 +32,79 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def _hashes(texts: Column) -> Column:
+    """Hashes of the normalised texts that are long enough, in order."""
+    return F.transform(F.filter(F.transform(texts, _normal), lambda t: F.length(t) >= LEAST_CHARS), lambda t: F.xxhash64(t))
+
+
 def messages(table: DataFrame) -> DataFrame:
-    """Adds row, lines (level, line) and passages: structs of level and hash of the normalised text."""
+    """Adds row, lines (level, line) and passages: structs of level and of the hashes of the whole, its lines and its paragraphs."""
     rows = table.select(F.monotonically_increasing_id().alias("row"), "conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     lines = F.transform(F.split("text", "\r?\n"), lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, MARK, 0), "[^>]", "")).alias("level"), F.regexp_replace(x, MARK + r"[ \t]?", "").alias("line")))
     rows = rows.withColumn("lines", lines)
-    # A passage begins where the level changes; its lines are joined by spaces.
+    # A passage begins where the level changes; blank lines part its paragraphs.
     start = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | (F.get("lines", i)["level"] != F.get("lines", i - 1)["level"]))
     rows = rows.withColumn("_start", start).withColumn("_end", F.concat(F.slice("_start", F.lit(2), F.size("_start")), F.array(F.size("lines"))))
-    runs = F.zip_with("_start", "_end", lambda a, b: F.struct(F.get("lines", a)["level"].alias("level"), _normal(F.array_join(F.transform(F.slice("lines", a + 1, b - a), lambda x: x["line"]), " ")).alias("said")))
-    passages = F.filter(runs, lambda p: F.length(p["said"]) >= LEAST_CHARS)
-    return rows.withColumn("passages", F.transform(passages, lambda p: F.struct(p["level"].alias("level"), F.xxhash64(p["said"]).alias("hash")))).drop("_start", "_end")
+    runs = F.zip_with("_start", "_end", lambda a, b: F.struct(F.get("lines", a)["level"].alias("level"), F.array_join(F.transform(F.slice("lines", a + 1, b - a), lambda x: x["line"]), "\n").alias("body")))
+    rows = rows.withColumn("_runs", F.filter(F.transform(runs, lambda p: F.struct(p["level"].alias("level"), p["body"].alias("body"), _normal(p["body"]).alias("said"))), lambda p: F.length(p["said"]) >= LEAST_CHARS))
+    passage = lambda p: F.struct(p["level"].alias("level"), F.xxhash64(p["said"]).alias("hash"), _hashes(F.split(p["body"], "\n")).alias("single"), _hashes(F.split(p["body"], r"\n[ \t]*(?:\n[ \t]*)+")).alias("paragraphs"))
+    return rows.withColumn("passages", F.transform("_runs", passage)).drop("_start", "_end", "_runs")
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_none", F.col("conv_id").isNull()).withColumn("_conv", F.coalesce("conv_id", F.lit(0)))
 
 
-def origins(rows: DataFrame) -> DataFrame:
-    """The first message of each conversation that says a passage, by the passage's hash."""
-    each = F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: _normal(x["line"]))
-    single = F.transform(F.filter(each, lambda t: F.length(t) >= LEAST_CHARS), lambda t: F.xxhash64(t))
-    whole = F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: p["hash"])
-    said = rows.select("_none", "_conv", F.struct("turn", "row").alias("at"), F.explode(F.array_distinct(F.concat(whole, single))).alias("hash"))
-    return said.groupBy("_none", "_conv", "hash").agg(F.min("at").alias("origin"))
+def _said(rows: DataFrame) -> DataFrame:
+    """(_none, _conv, at, hash) of all that messages say: passages, paragraphs and lines of level 0."""
+    own = F.filter("passages", lambda p: p["level"] == 0)
+    every = F.flatten(F.transform(own, lambda p: F.concat(F.array(p["hash"]), p["paragraphs"], p["single"])))
+    return rows.select("_none", "_conv", F.struct("turn", "row").alias("at"), F.explode(F.array_distinct(every)).alias("hash"))
+
+
+def origins(said: DataFrame) -> DataFrame:
+    """The first message of each conversation that says a passage, by the passage's hash, and the number of messages that do."""
+    return said.groupBy("_none", "_conv", "hash").agg(F.min("at").alias("origin"), F.count(F.lit(1)).alias("m"))
+
+
+def _in_order(wanted: Column, held: Column) -> Column:
+    """Whether ``held`` has the items of ``wanted`` in this order, with any others between."""
+    step = lambda n, x: F.when(F.get(wanted, n) == x, n + 1).otherwise(n)
+    return F.aggregate(held, F.lit(0), step) == F.size(wanted)
+
+
+def holders(rows: DataFrame, quoted: DataFrame, said: DataFrame, first: DataFrame) -> DataFrame:
+    """(_none, _conv, run, origin): the first message that says the lines or paragraphs of a quoted passage in order.
+
+    A passage that many quote is looked for once, among the messages that say the rarest of its parts.
+    """
+    runs = quoted.select("_none", "_conv", "run", F.explode(F.array(F.struct(F.lit(0).alias("way"), F.col("single").alias("parts")), F.struct(F.lit(1).alias("way"), F.col("paragraphs").alias("parts")))).alias("x"))
+    runs = keep(runs.select("_none", "_conv", "run", "x.way", "x.parts").where(F.size("parts") > 1).dropDuplicates(["_none", "_conv", "run", "way"]), "runs")
+    each = runs.select("_none", "_conv", "run", "way", F.size(F.array_distinct("parts")).alias("n"), F.explode(F.array_distinct("parts")).alias("hash"))
+    rarest = each.join(first, ["_none", "_conv", "hash"]).groupBy("_none", "_conv", "run", "way").agg(F.min_by("hash", F.struct("m", "hash")).alias("hash"), F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where("k = n").drop("k", "n")
+    at = rarest.join(said, ["_none", "_conv", "hash"]).select("_none", "_conv", "run", "way", "at", F.col("at.row").alias("row"))
+    own = F.filter("passages", lambda p: p["level"] == 0)
+    held = rows.select("row", F.flatten(F.transform(own, lambda p: p["single"])).alias("single"), F.flatten(F.transform(own, lambda p: p["paragraphs"])).alias("paragraphs"))
+    pairs = at.join(runs, ["_none", "_conv", "run", "way"]).join(held, "row").where(_in_order(F.col("parts"), F.when(F.col("way") == 0, F.col("single")).otherwise(F.col("paragraphs"))))
+    return pairs.groupBy("_none", "_conv", "run").agg(F.min("at").alias("origin"))
 
 
 def linked(table: DataFrame) -> DataFrame:
     """Messages with parent (turn and row of the origin they reply to, or null), the number of quotes, and text without them."""
     rows = keep(_keyed(messages(table)), "messages")
-    quoted = rows.select("row", "turn", "_none", "_conv", F.explode(F.filter("passages", lambda p: p["level"] > 0)).alias("p")).select("row", "turn", "_none", "_conv", "p.level", "p.hash")
-    found = quoted.join(origins(rows), ["_none", "_conv", "hash"]).where(F.col("origin") < F.struct("turn", "row"))
+    said = _said(rows)
+    first = keep(origins(said), "origins")
+    quoted = rows.select("row", "turn", "_none", "_conv", F.posexplode(F.filter("passages", lambda p: p["level"] > 0)).alias("place", "p")).select("row", "turn", "_none", "_conv", "place", "p.*")
+    quoted = keep(quoted.withColumn("run", F.xxhash64("single", F.lit(0), "paragraphs")), "quoted")
+    # Whole passages by their hash or by their parts in order; parts alone count where no earlier message holds the whole.
+    parts = F.transform(F.array_except(F.array_distinct(F.concat("single", "paragraphs")), F.array("hash")), lambda h: F.struct(h.alias("hash"), F.lit(1).alias("rank")))
+    looked = quoted.select("row", "turn", "_none", "_conv", "place", "level", F.explode(F.concat(F.array(F.struct("hash", F.lit(0).alias("rank"))), parts)).alias("x")).select("row", "turn", "_none", "_conv", "place", "level", "x.*")
+    by_hash = looked.join(first.drop("m"), ["_none", "_conv", "hash"]).select("row", "turn", "place", "level", "rank", "origin")
+    by_parts = quoted.join(holders(rows, quoted, said, first), ["_none", "_conv", "run"]).select("row", "turn", "place", "level", F.lit(0).alias("rank"), "origin")
+    found = by_hash.unionByName(by_parts).where(F.col("origin") < F.struct("turn", "row"))
+    passage = found.groupBy("row", "level", "place").agg(F.min(F.when(F.col("rank") == 0, F.col("origin"))).alias("whole"), F.max("origin").alias("part"))
     # The least level, and of its origins the latest.
-    level = found.groupBy("row", "level").agg(F.max("origin").alias("origin"))
+    level = passage.groupBy("row", "level").agg(F.max(F.coalesce("whole", "part")).alias("origin"))
     best = level.groupBy("row").agg(F.min_by("origin", "level").alias("parent"))
     bare = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n")
     quotes = F.size(F.filter("passages", lambda p: p["level"] > 0)).alias("quotes")

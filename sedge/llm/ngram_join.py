@@ -349,7 +349,7 @@ def _tree_pairs(shared: DataFrame, nodes: DataFrame, parts: DataFrame, every: bo
 
 
 def linked(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n_shingles, component_id) of the rows of ``docs``, which has doc_id and text."""
+    """(row, doc_id, n_shingles, component_id, part) of the rows of ``docs``, which has doc_id and text; part names a component whatever its ids, and is null without shingles."""
     found = keep(signatures(docs), "signatures")
     nodes = found.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("counts").alias("counts"))
     nodes = keep(nodes, "nodes")
@@ -376,20 +376,20 @@ def linked(docs: DataFrame) -> DataFrame:
     drop_kept(shared)
     rows = rows_of.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     least = rows.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "part", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(least, "part", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "part")
 
 
 @shielded
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each component, the first row of its least doc_id; the columns of ``docs``."""
+    """One document of each component, the first row of its least doc_id, null ids last; the columns of ``docs``."""
     rows = linked(docs)
     alone = rows.where("n_shingles = 0").select("row")
-    first = rows.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("least")).select("least.row")
+    first = rows.where("n_shingles > 0").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")).select("least.row")
     return docs.withColumn("_row", F.monotonically_increasing_id()).join(alone.unionByName(first).withColumnRenamed("row", "_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
+    return linked(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row", "part")
 
 
 QUERIES = {"op7_ngram_join": op7}

@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 A bounded, balanced sample of labelled rows gives the examples and, by chi-squared, the
-terms (words, and their first letters, so that inflected forms meet). Document frequencies
-come from the whole corpus. Examples stand in blocks of an inverted index with each block's
+terms (words, and their first letters, so that inflected forms meet): all that pass the test;
+norms are over these terms. Document frequencies come from the whole corpus. Examples stand in blocks of an inverted index with each block's
 greatest weight per term; a text's bound on a block is the cosine it could reach at most, and
 blocks are read by falling bounds until none can change the nearest. Distance-weighted votes,
 corrected for the sample's balance and calibrated on the examples themselves (each left out
@@ -31,12 +31,13 @@ from .common import keep, table
 
 #: Labelled examples per class, at most, chosen by a hash of their id.
 EXAMPLES = 2048
-TERMS = 1024
 #: Least chi-squared (1 degree of freedom) of a term, and least examples that hold it.
 LEAST_CHI = 6.6
 LEAST_DF = 3
 PREFIXES = (4, 5, 6)
 BLOCK = 64
+#: Blocks that each query reads first, by its own bounds.
+FIRST = 3
 NEIGHBOURS = 15
 EVIDENCE = 3
 BATCH = 512
@@ -75,60 +76,117 @@ class TermCounter:
         return out
 
 
+@dataclass
+class Sparse:
+    """Rows of weights at terms."""
+
+    start: np.ndarray  # of each row, and the end
+    at: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, x: Sparse | np.ndarray) -> Sparse:
+        if isinstance(x, Sparse):
+            return x
+        row, at = np.nonzero(x)
+        return cls(np.searchsorted(row, np.arange(len(x) + 1)), at, x[row, at])
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+    def take(self, rows: np.ndarray) -> Sparse:
+        size = np.diff(self.start)[rows]
+        start = np.concatenate([[0], np.cumsum(size)])
+        place = np.arange(start[-1]) + np.repeat(self.start[:-1][rows] - start[:-1], size)
+        return Sparse(start, self.at[place], self.weight[place])
+
+    def row_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.start))
+
+
 @dataclass
 class Index:
-    """Examples as unit TF-IDF vectors in blocks, with the greatest weight per term of each block."""
+    """Examples as unit TF-IDF vectors; blocks hold the terms that their examples have, and the greatest weight of each."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    vectors: np.ndarray  # example, term
+    vectors: Sparse  # of each example
     votes: np.ndarray  # of each example
     prior: float
     slope: float = 1.0
     shift: float = 0.0
-    most: np.ndarray = field(init=False)  # term, block
+    blocks: list | None = None
 
     def __post_init__(self):
-        n = len(self.ids)
-        self.most = np.stack([self.vectors[a : a + BLOCK].max(axis=0) for a in range(0, n, BLOCK)], axis=1) if n else np.zeros((len(self.idf), 0))
-
-    def vector(self, counts: list[dict[int, int]]) -> np.ndarray:
-        out = np.zeros((len(counts), len(self.idf)))
-        for i, c in enumerate(counts):
-            if c:
-                at = np.fromiter(c.keys(), dtype=np.int64, count=len(c))
-                out[i, at] = (1 + np.log(np.fromiter(c.values(), dtype=np.float64, count=len(c)))) * self.idf[at]
-        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-        return np.divide(out, norm, out=out, where=norm > 0)
-
-    def nearest(self, queries: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        self.vectors = Sparse.of(self.vectors)
+
+    def __getstate__(self):
+        return self.__dict__ | {"blocks": None}
+
+    def read_blocks(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per block: each term's place among the block's, or one past them, the weights (place, example), and the greatest per place."""
+        if self.blocks is None:
+            self.blocks = []
+            for a in range(0, len(self.ids), BLOCK):
+                part = self.vectors.take(np.arange(a, min(a + BLOCK, len(self.ids))))
+                terms, at = np.unique(part.at, return_inverse=True)
+                place = np.full(len(self.idf), len(terms), dtype=np.int32)
+                place[terms] = np.arange(len(terms))
+                weights = np.zeros((len(terms) + 1, len(part)))
+                weights[at, part.row_of()] = part.weight
+                self.blocks.append((place, weights, weights.max(axis=1)))
+        return self.blocks
+
+    def vector(self, counts: list[dict[int, int]]) -> Sparse:
+        size = [len(c) for c in counts]
+        at = np.array([t for c in counts for t in c.keys()], dtype=np.int64)
+        return self.unit(np.concatenate([[0], np.cumsum(size)]).astype(np.int64), at, np.array([n for c in counts for n in c.values()], dtype=np.float64))
+
+    def unit(self, start: np.ndarray, at: np.ndarray, n: np.ndarray) -> Sparse:
+        out = Sparse(start, at, (1 + np.log(n)) * self.idf[at])
+        row = out.row_of()
+        out.weight /= np.sqrt(np.bincount(row, out.weight**2, minlength=len(out)))[row]
+        return out
+
+    def nearest(self, queries: Sparse | np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine (rounded to 12 digits; ties to the first), and the cosines; 0 where there is none."""
-        n, blocks = len(queries), self.most.shape[1]
+        queries, blocks = Sparse.of(queries), self.read_blocks()
+        n = len(queries)
         best, who = np.zeros((n, k)), np.full((n, k), len(self.ids))
-        bounds = queries @ self.most + 1e-9
-        order = np.argsort(-bounds, axis=1, kind="stable")
-        live = np.arange(n)
-        for r in range(blocks):
-            b = order[live, r]
-            reach = bounds[live, b]
-            live = live[(reach >= best[live, -1]) & (reach > 2e-9)]
-            if not len(live):
-                break
-            b = order[live, r]
-            by = np.argsort(b, kind="stable")
-            cuts = np.flatnonzero(np.diff(b[by])) + 1
-            for rows in np.split(live[by], cuts):
-                at = order[rows[0], r] * BLOCK
-                scores = np.round(queries[rows] @ self.vectors[at : at + BLOCK].T, 12)
-                if without is not None:
-                    scores[np.arange(at, at + scores.shape[1]) == without[rows, None]] = 0
-                s = np.concatenate([best[rows], scores], axis=1)
-                w = np.concatenate([who[rows], np.broadcast_to(np.arange(at, at + scores.shape[1]), scores.shape)], axis=1)
-                w = np.where(s > 0, w, len(self.ids))
-                top = np.lexsort((w, -s), axis=1)[:, :k]
-                best[rows], who[rows] = np.take_along_axis(s, top, 1), np.take_along_axis(w, top, 1)
+        if not blocks or not n:
+            return who, best
+        row = queries.row_of()
+        bounds = np.stack([np.bincount(row, queries.weight * most[place[queries.at]], minlength=n) for place, _, most in blocks], axis=1) + 1e-9
+
+        def read(b: int, rows: np.ndarray) -> None:
+            place, weights, _ = blocks[b]
+            some, at = queries.take(rows), b * BLOCK
+            dense = np.zeros((len(rows), len(weights)))
+            dense[some.row_of(), place[some.at]] = some.weight
+            scores = np.round(dense @ weights, 12)
+            if without is not None:
+                scores[np.arange(at, at + scores.shape[1]) == without[rows, None]] = 0
+            new = scores.max(axis=1) >= best[rows, -1]
+            rows, scores = rows[new], scores[new]
+            s = np.concatenate([best[rows], scores], axis=1)
+            w = np.concatenate([who[rows], np.broadcast_to(np.arange(at, at + scores.shape[1]), scores.shape)], axis=1)
+            w = np.where(s > 0, w, len(self.ids))
+            top = np.lexsort((w, -s), axis=1)[:, :k]
+            best[rows], who[rows] = np.take_along_axis(s, top, 1), np.take_along_axis(w, top, 1)
+
+        # The blocks of greatest bounds first, by query; then block by block what could still change the nearest.
+        order = np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST]
+        for r in range(order.shape[1]):
+            for b in np.unique(order[:, r]):
+                rows = np.flatnonzero((order[:, r] == b) & (bounds[:, b] >= best[:, -1]) & (bounds[:, b] > 2e-9))
+                if len(rows):
+                    read(b, rows)
+        for b in np.argsort(-bounds.max(axis=0), kind="stable"):
+            rows = np.flatnonzero((bounds[:, b] >= best[:, -1]) & (bounds[:, b] > 2e-9) & (order != b).all(axis=1))
+            if len(rows):
+                read(b, rows)
         return who, best
 
     def voted(self, who: np.ndarray, best: np.ndarray) -> np.ndarray:
@@ -218,30 +276,34 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
         return Index({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0), prior)
     a, b = F.col("a"), F.col("b")
     chi = (a * (n0 - b) - b * (n1 - a)) ** 2 * (n1 + n0) / (n1 * n0 * (a + b) * (n1 + n0 - a - b) + 1e-9)
-    chosen = per.where(a + b >= LEAST_DF).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.col("chi").desc(), "term").limit(TERMS)
+    chosen = per.where(a + b >= LEAST_DF).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.col("chi").desc(), "term")
     terms = [r.term for r in chosen.select("term").collect()]
     df, n = corpus_frequencies(docs, terms)
     idf = np.log((n + 1) / (df + 1)) + 1
     vocabulary = {t: i for i, t in enumerate(terms)}
-    got = counted.join(F.broadcast(docs.sparkSession.createDataFrame([(t, i) for t, i in vocabulary.items()], "term string, at int")), "term").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("c"))
-    vectors = {r.doc_id: {x.at: x.n for x in r.c} for r in got.collect()}  # bounded: examples by terms
+    shared = docs.sparkSession.createDataFrame(pa.table({"term": pa.array(terms, pa.string()), "at": pa.array(np.arange(len(terms)), pa.int64())}))
+    # Bounded: examples by their own terms. Of texts that share an id, the one that has a term most often counts.
+    got = counted.join(shared, "term").groupBy("doc_id", "at").agg(F.max("n").alias("n")).orderBy("doc_id", "at").toArrow()
+    doc, at, n = (got.column(c).to_numpy() for c in ("doc_id", "at", "n"))
     rows = sorted((r.doc_id, r.toxic) for r in sample.collect())
-    # Blocks hold examples with the same strongest term, so that few blocks reach far.
+    filled, start = np.unique(doc, return_index=True)
     index = Index(vocabulary, idf, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(idf))), np.zeros(0), prior)
-    filled = [(d, t) for d, t in rows if vectors.get(d)]
-    own = index.vector([vectors[d] for d, _ in filled]) if filled else np.zeros((0, len(idf)))
-    order = np.lexsort(([d for d, _ in filled], own.argmax(axis=1))) if filled else []
-    ids = np.array([filled[i][0] for i in order], dtype=np.int64)
-    y = np.array([filled[i][1] for i in order], dtype=np.int64)
+    own = index.unit(np.append(start, len(doc)), at, n.astype(np.float64))
+    # Blocks hold examples with the same strongest term, so that few blocks reach far.
+    by = np.lexsort((at, -own.weight, own.row_of()))[own.start[:-1]]
+    order = np.lexsort((filled, at[by])) if len(filled) else np.zeros(0, np.int64)
+    label = dict(rows)
+    ids = filled[order].astype(np.int64)
+    y = np.array([label[d] for d in ids.tolist()], dtype=np.int64)
     share = n1 / (n1 + n0)
     votes = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
-    index = Index(vocabulary, idf, ids, y, own[order] if filled else own, votes, prior)
+    index = Index(vocabulary, idf, ids, y, own.take(order), votes, prior)
     # Examples without any term are not indexed but count for the calibration.
     everyone = np.array([t for _, t in rows])
     raw = np.full(len(rows), index.prior)
     place = {d: i for i, (d, _) in enumerate(rows)}
     for s in range(0, len(ids), BATCH):
-        raw[[place[d] for d in ids[s : s + BATCH]]] = index.voted(*index.nearest(index.vectors[s : s + BATCH], NEIGHBOURS, np.arange(s, min(s + BATCH, len(ids)))))
+        raw[[place[d] for d in ids[s : s + BATCH]]] = index.voted(*index.nearest(index.vectors.take(np.arange(s, min(s + BATCH, len(ids)))), NEIGHBOURS, np.arange(s, min(s + BATCH, len(ids)))))
     index.slope, index.shift = _platt(raw, everyone, np.where(everyone == 1, prior / share, (1 - prior) / (1 - share)))
     return index
 

@@ -23,8 +23,6 @@ from pyspark.sql.window import Window
 
 from .common import drop_kept, keep, table
 
-#: Normalised passages shorter than this many characters link nothing.
-LEAST_CHARS = 8
 MARK = r"^(?:[ \t]*>)+"
 
 
@@ -33,8 +31,8 @@ def _normal(text: Column) -> Column:
 
 
 def _hashes(texts: Column) -> Column:
-    """Hashes of the normalised texts that are long enough, in order."""
-    return F.transform(F.filter(F.transform(texts, _normal), lambda t: F.length(t) >= LEAST_CHARS), lambda t: F.xxhash64(t))
+    """Hashes of the normalised texts with a letter or digit, in order."""
+    return F.transform(F.filter(F.transform(texts, _normal), lambda t: t != ""), lambda t: F.xxhash64(t))
 
 
 def messages(table: DataFrame) -> DataFrame:
@@ -46,7 +44,7 @@ def messages(table: DataFrame) -> DataFrame:
     start = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | (F.get("lines", i)["level"] != F.get("lines", i - 1)["level"]))
     rows = rows.withColumn("_start", start).withColumn("_end", F.concat(F.slice("_start", F.lit(2), F.size("_start")), F.array(F.size("lines"))))
     runs = F.zip_with("_start", "_end", lambda a, b: F.struct(F.get("lines", a)["level"].alias("level"), F.array_join(F.transform(F.slice("lines", a + 1, b - a), lambda x: x["line"]), "\n").alias("body")))
-    rows = rows.withColumn("_runs", F.filter(F.transform(runs, lambda p: F.struct(p["level"].alias("level"), p["body"].alias("body"), _normal(p["body"]).alias("said"))), lambda p: F.length(p["said"]) >= LEAST_CHARS))
+    rows = rows.withColumn("_runs", F.filter(F.transform(runs, lambda p: F.struct(p["level"].alias("level"), p["body"].alias("body"), _normal(p["body"]).alias("said"))), lambda p: p["said"] != ""))
     passage = lambda p: F.struct(p["level"].alias("level"), F.xxhash64(p["said"]).alias("hash"), _hashes(F.split(p["body"], "\n")).alias("single"), _hashes(F.split(p["body"], r"\n[ \t]*(?:\n[ \t]*)+")).alias("paragraphs"))
     return rows.withColumn("passages", F.transform("_runs", passage)).drop("_start", "_end", "_runs")
 

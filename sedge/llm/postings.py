@@ -4,7 +4,8 @@ Balanced k-means on a bounded sample gives the lists' centroids; a navigable gra
 them is searched best first. A vector goes to its nearest list and, near a boundary, to
 others that are not farther by more than a ratio and not hidden behind a nearer one. A
 query reads the lists within a distance ratio of its nearest, a ratio that is measured
-on the sample so that enough of true neighbours lie in the lists it reads. Long lists
+on the sample so that enough of true neighbours lie in the lists it reads, and goes on to
+the next lists while these hold fewer rows than it asks for. Long lists
 are dealt into blocks, and lists that many queries read into several tasks.
 
 Defined cases: vectors that are null, zero, not finite, or not of the most common length
@@ -89,10 +90,20 @@ class Lists:
             lists.append(c[ok])
         return np.concatenate(own), np.concatenate(lists)
 
-    def read(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, list) of the lists within the ratio."""
+    def read(self, x: np.ndarray, held: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, list) of the lists within the ratio, and of the next nearest until ``least`` rows are at home in them.
+
+        ``held`` counts each row once, in its nearest list.
+        """
         d = self.search(x, self.ratio, least=2 * DEGREE)
-        return np.nonzero(d <= (1 + self.ratio) * d.min(axis=1, keepdims=True))
+        read = d <= (1 + self.ratio) * d.min(axis=1, keepdims=True)
+        few = np.flatnonzero(read @ held < least)
+        if len(few):
+            order = np.argsort(np.where(read[few], -1.0, vectors.squared(x[few], self.centroids)), axis=1, kind="stable")
+            before = np.cumsum(held[order], axis=1) - held[order]
+            np.put_along_axis(more := np.zeros((len(few), len(held)), bool), order, before < least, 1)
+            read[few] |= more
+        return np.nonzero(read)
 
 
 def navigable(c: np.ndarray) -> np.ndarray:
@@ -147,20 +158,25 @@ def search(table: DataFrame, asks: Column, k: int = 5) -> DataFrame:
         return spark.createDataFrame([], out)
     shared = spark.sparkContext.broadcast(fit(vectors.sample(rows), n))
 
-    def place(batches, reading: bool):
+    def place(batches, held: np.ndarray | None = None):
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 x = vectors.unit(vectors.matrix(part.column("v")))
-                own, lists = (shared.value.read if reading else shared.value.homes)(x)
+                own, lists = shared.value.homes(x) if held is None else shared.value.read(x, held, k + 1)
                 got = part.take(pa.array(own))
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), *got.columns], ["list", *got.schema.names])
+                # A row's first list, its nearest, is its home.
+                home = np.arange(len(own)) < len(x)
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), *got.columns, pa.array(home)], ["list", *got.schema.names, "home"])
 
-    schema = "list int, row long, vec_id long, v array<float>"
+    schema = "list int, row long, vec_id long, v array<float>, home boolean"
     rows = rows.withColumn("v", F.col("v").cast("array<float>")) if "double" not in rows.schema["v"].dataType.simpleString() else rows
     schema = schema.replace("array<float>", rows.schema["v"].dataType.simpleString())
-    members = keep(rows.mapInArrow(lambda b: place(b, False), schema), "members")
-    queries = keep(rows.where(asks).mapInArrow(lambda b: place(b, True), schema), "queries")
+    members = keep(rows.mapInArrow(lambda b: place(b), schema), "members")
+    held = np.zeros(len(shared.value.centroids), dtype=np.int64)
+    for r in members.where("home").groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per list
+        held[r.list] = r.n
+    queries = keep(rows.where(asks).mapInArrow(lambda b: place(b, held), schema), "queries")
     sizes = members.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     asked = queries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).cast("int").alias("turns"))
     shape = keep(sizes.join(asked, "list"), "shape")

@@ -5,13 +5,18 @@ at most the sum of their coordinate minima, so that a pair of points, or of the
 boxes, whose sum is too small for the threshold is out. What is left is verified on the
 whole sets.
 
-The tree is built where points can meet: under each of a set's least shingle hashes. Two
-linked sets have one of these in common for certain when a set's hashes are all of its
-prefix (sets up to 4 * (KEYS - 1) shingles), and but for a chance of 4 ** -KEYS beyond. Equal
-sets are one node. Nodes first meet the least node of each key; what that leaves apart is
-joined by the tree, each component by its likeliest pair while that links many, then all pairs
-that remain between components, so that no group of copies is written out as pairs and no
-link between components is lost.
+The least shingle hashes find the pairs and the trees rule most of them out: a tree is built
+under each of a set's least hashes. Two linked sets have one of these in common for certain
+when a set's hashes are all of its prefix (sets up to 4 * (KEYS - 1) shingles), and but for a
+chance of 4 ** -KEYS beyond. Equal sets are one node. Nodes first meet the least node of each
+key. What that leaves apart meets in the trees, each pair under the least key that it shares:
+first with counts alone, which leaves the nodes of pairs that could be links; then with these
+nodes' whole sets, where the pairs are verified, likeliest first, unless links found so far
+connect them already. A tree hands on a forest of verified links, so that no group of copies is
+ever written out as pairs and no link between components is lost.
+
+Nodes under a frequent key are dealt into cells by their sizes and, of one size, by hash; two
+cells meet only if sets of their sizes could be linked.
 
 Defined cases: null and empty texts, and texts of white space, have no shingles and are
 linked with nothing, not even each other; repeated rows are equal sets; an empty table gives
@@ -40,13 +45,17 @@ GROUPS = 64
 MOST_GROUPS = 1 << 16
 #: A count that a byte can't hold; it bounds nothing.
 MANY = 255
-#: Share of nodes that a round of likeliest pairs must link for another such round.
-MERGING = 0.01
-#: Ids that are broadcast to a scan, at most; more are joined by a shuffle.
+#: Pairs of two longs that are broadcast to a scan, at most (16 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 LEAF = 16
-#: Nodes under one key that one tree holds; more are dealt into blocks, and every two blocks are joined.
+#: Nodes under one key that one tree holds, and shingles in their sets; more are dealt into cells.
 BLOCK = 2048
+BLOCK_SHINGLES = 1 << 21
+#: Sets whose sizes differ by more than this factor can't be linked (a little over 100 / LEAST).
+BAND = 1.34
+#: Pairs that are held before they are verified, and verified before links are looked at again.
+HELD_PAIRS = 1 << 14
+STEP = 256
 CHUNK = 1 << 20
 U = np.uint64
 
@@ -58,13 +67,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     base = 0x9E3779B97F4A7C15
     inverse = pow(base, -1, 1 << 64)
     return tuple(np.cumprod(np.concatenate([[U(1)], np.full(n, U(b), dtype=np.uint64)])) for b in (base, inverse))
 
 
+_kept_powers = functools.lru_cache(maxsize=1)(_power_table)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers up to n; one table serves all chunks of common size, and a very long text's is not kept."""
+    return _kept_powers(2 * CHUNK) if n <= 2 * CHUNK else _power_table(n)
+
+
 _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -276,12 +292,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("s_a"), batch.column("s_b"), strict=True):
-                v, w = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = np.sort(np.concatenate([v, w]))
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * shared >= LEAST * (len(v) + len(w) - shared))
+            ok = [_similar(np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)) for x, y in zip(batch.column("s_a"), batch.column("s_b"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     of = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"s_{c}"))
@@ -290,46 +301,68 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def _tree_pairs(shared: DataFrame, nodes: DataFrame, parts: DataFrame, every: bool) -> DataFrame:
-    """Pairs of nodes in different components that meet under a key and that the tree doesn't rule out.
+def _similar(v: np.ndarray, w: np.ndarray) -> bool:
+    both = np.sort(np.concatenate([v, w]))
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= LEAST * (len(v) + len(w) - shared)
 
-    ``every`` false gives the likeliest pair of each component under each tree, so that pairs grow as the rows do.
-    """
-    rows = shared.select("key", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component").join(nodes.select("node", "n", "counts"), "node")
-
-    def pairs_of(group: pa.Table):
-        own, node, part = (group.column(c).to_numpy() for c in ("own", "node", "component"))
-        n = group.column("n").to_numpy()
-        vectors = [point(x.as_buffer()) for c in group.column("counts").chunks for x in c]
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        halves = [np.flatnonzero(own == x) for x in ([i] if i == j else [i, j])]
-        if not all(len(h) for h in halves):
-            return None
-        trees = [Tree(n[h], [vectors[x] for x in h]) for h in halves]
-        place = [h[t.order] for h, t in zip(halves, trees, strict=True)]
-        left, right = place[0], place[-1]
-        found = list(joined(trees[0], trees[-1], lambda x, y: part[left[x]] != part[right[y]]))
-        if not sum(len(f[0]) for f in found):
-            return None
-        a, b, slack = left[np.concatenate([f[0] for f in found])], right[np.concatenate([f[1] for f in found])], np.concatenate([f[2] for f in found])
-        if not every:
-            whose, pair = np.concatenate([part[a], part[b]]), np.tile(np.arange(len(a)), 2)
-            best = np.lexsort((node[b[pair]], node[a[pair]], -slack[pair], whose))
-            first = np.unique(pair[best[np.concatenate([[True], whose[best][1:] != whose[best][:-1]])]])
-            a, b = a[first], b[first]
-        return np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+
+class Forest:
+    """Labels of nodes, merged by the links that a tree's pairs turn out to be."""
+
+    def __init__(self, parts: np.ndarray, sets: list[np.ndarray]):
+        self.label, self.sets = np.unique(parts, return_inverse=True)[1], sets
+        self.links: list[tuple[int, int]] = []
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, slack: np.ndarray) -> None:
+        self.held.append((a, b, slack))
+        self.size += len(a)
+        if self.size >= HELD_PAIRS:
+            self.settle()
+
+    def settle(self) -> None:
+        """Verify what is held, likeliest first and in growing steps, but for pairs that links connect by then."""
+        if not self.held:
+            return
+        a, b, slack = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
+        order = np.argsort(-slack, kind="stable")
+        a, b, step = a[order], b[order], STEP
+        while True:
+            open_ = self.label[a] != self.label[b]
+            a, b = a[open_], b[open_]
+            if not len(a):
+                return
+            for x, y in zip(a[:step].tolist(), b[:step].tolist(), strict=True):
+                if self.label[x] != self.label[y] and _similar(self.sets[x], self.sets[y]):
+                    self.links.append((x, y))
+                    self.label[self.label == self.label[y]] = self.label[x]
+            a, b, step = a[step:], b[step:], 2 * step
+
+
+def _least_shared(keys: np.ndarray, key: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs share no key below ``key``; ``keys`` has a row of keys for each node, padded by itself."""
+    out = np.ones(len(a), bool)
+    below = np.sort(np.where(keys < key, keys, np.iinfo(np.int64).max), axis=1)
+    width = int((below < key).sum(axis=1).max(initial=0))
+    below = below[:, :width]
+    for s in range(0, len(a), 4096):
+        v, w = below[a[s : s + 4096]], below[b[s : s + 4096]]
+        out[s : s + 4096] = ~((v[:, :, None] == w[:, None, :]) & (v < key)[:, :, None]).any(axis=(1, 2))
+    return out
+
+
+def _in_groups(work, out: list[str]):
+    """A function over Arrow batches whose rows stand together by (key, i, j): ``work`` makes columns of each such group."""
 
     def run(batches):
-        # Rows of a group stand together; groups are bounded by two blocks.
         held: list[pa.RecordBatch] = []
 
         def flush(t: pa.Table):
-            if t.num_rows > 1 and (got := pairs_of(t)) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["a", "b"])
+            if t.num_rows > 1 and (got := work(t)) is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], out)
 
         for batch in batches:
             key = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
@@ -344,8 +377,90 @@ def _tree_pairs(shared: DataFrame, nodes: DataFrame, parts: DataFrame, every: bo
         if held:
             yield from flush(pa.Table.from_batches(held))
 
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return run
+
+
+def _trees(group: pa.Table) -> tuple[list[Tree], list[np.ndarray]] | None:
+    """The tree of a cell by itself, or those of two cells that meet, with each point's row of the group."""
+    own, n = group.column("own").to_numpy(), group.column("n").to_numpy()
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    halves = [np.flatnonzero(own == x) for x in ([i] if i == j else [i, j])]
+    if not all(len(h) for h in halves):
+        return None
+    vectors = [point(x.as_buffer()) for c in group.column("counts").chunks for x in c]
+    trees = [Tree(n[h], [vectors[x] for x in h]) for h in halves]
+    return trees, [h[t.order] for h, t in zip(halves, trees, strict=True)]
+
+
+def _dealt(shared: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, i, j, own, node, component): the cells of nodes under the keys that hold more than one component."""
+    rows = shared.select("key", "node", "n").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_key = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("x <> y")
+    rows = rows.join(of_key.select("key", ((F.col("m") > BLOCK) | (F.col("s") > BLOCK_SHINGLES)).alias("frequent")), "key")
+    rows = rows.withColumn("band", F.when(F.col("frequent"), F.floor(F.log(BAND, F.col("n")))).otherwise(0).cast("long"))
+    shape = rows.groupBy("key", "band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    shape = keep(shape, "shape")
+    near = shape.select("key", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("other_band"), F.col("blocks").alias("other_blocks"))
+    near = near.join(shape, ["key", "band"])
+    cell = lambda band, block: F.shiftleft(band, 32) + block
+    rows = rows.join(near, ["key", "band"]).withColumn("own", cell(F.col("band"), F.pmod(F.xxhash64("node", "key"), F.col("blocks"))))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_blocks") - 1))).withColumn("other", cell(F.col("other_band"), F.col("block")))
+    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _tree_links(shared: DataFrame, nodes: DataFrame, parts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between components, as a forest of verified ones from each tree."""
+    columns = ["key", "i", "j", "own", "node", "component"]
+
+    def likely(group: pa.Table):
+        """The nodes of pairs that counts don't rule out and that share no lesser key."""
+        if (got := _trees(group)) is None:
+            return None
+        (trees, place), key = got, group.column("key")[0].as_py()
+        part = group.column("component").to_numpy()
+        lists = group.column("keys").combine_chunks()
+        flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+        keys = np.full((len(part), KEYS), np.iinfo(np.int64).max)
+        width = np.diff(ends, prepend=0)
+        keys[np.repeat(np.arange(len(part)), width), np.arange(len(flat)) - np.repeat(ends - width, width)] = flat
+        left, right = place[0], place[-1]
+        wanted = np.zeros(len(part), bool)
+        for a, b, _ in joined(trees[0], trees[-1], lambda x, y: part[left[x]] != part[right[y]]):
+            a, b = left[a], right[b]
+            own = _least_shared(keys, key, a, b)
+            wanted[a[own]] = wanted[b[own]] = True
+        if not wanted.any():
+            return None
+        return [group.column(c).to_numpy()[wanted] for c in columns]
+
+    def verified(group: pa.Table):
+        """A forest of the links of a group; pairs that counts rule out can't be links."""
+        if (got := _trees(group)) is None:
+            return None
+        trees, place = got
+        node = group.column("node").to_numpy()
+        forest = Forest(group.column("component").to_numpy(), [np.frombuffer(x.as_buffer(), dtype=np.uint64) for c in group.column("set").chunks for x in c])
+        left, right = place[0], place[-1]
+        for a, b, slack in joined(trees[0], trees[-1], lambda x, y: forest.label[left[x]] != forest.label[right[y]]):
+            forest.add(left[a], right[b], slack)
+        forest.settle()
+        if not forest.links:
+            return None
+        a, b = np.array(forest.links).T
+        return node[a], node[b]
+
+    points = _dealt(shared, nodes, parts).join(nodes.select("node", "n", "counts", "keys"), "node")
+    wanted = keep(_together(points.select(*columns, "n", "counts", "keys")).mapInArrow(_in_groups(likely, columns), "key long, i long, j long, own long, node long, component long"), "likely")
+    sets = keep(_sets(docs, nodes, wanted.select(F.col("node").alias("a"), F.col("node").alias("b"))), "sets")
+    whole = wanted.join(nodes.select("node", "n", "counts"), "node").join(sets, "node").select(*columns, "n", "counts", "set")
+    out = keep(_together(whole).mapInArrow(_in_groups(verified, ["a", "b"]), "a long, b long"), "links")
+    drop_kept(sets)
+    drop_kept(wanted)
+    return out
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -355,24 +470,17 @@ def linked(docs: DataFrame) -> DataFrame:
     nodes = keep(nodes, "nodes")
     rows_of = keep(found.select("row", "doc_id", "n", "node"), "rows")
     drop_kept(found)
-    by_key = nodes.select(F.explode("keys").alias("key"), "node")
+    by_key = nodes.select(F.explode("keys").alias("key"), "node", "n")
     keys = by_key.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least")).where("m > 1").select("key", "least")
     shared = keep(by_key.join(keys, "key"), "shared")
     # Each node meets the least node of the key group with which it shares most keys.
     met = shared.where("node <> least").groupBy("node", "least").agg(F.count(F.lit(1)).alias("m"))
     stars = met.groupBy("node").agg(F.max(F.struct("m", (-F.col("least")).alias("least"))).alias("most")).select((-F.col("most.least")).alias("a"), F.col("node").alias("b"))
     parts = keep(components(_verified(_bounded(stars, nodes), nodes, docs)), "parts")
-    every, n = False, nodes.count()
-    while True:
-        more = _verified(_tree_pairs(shared, nodes, parts, every), nodes, docs)
-        found = more.count()
-        if found:
-            # Components so far, each a star, with the links that have been found since.
-            parts = keep(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "parts")
-        if every:
-            break
-        # While components still grow together by their likeliest pairs, fewer pairs are left to write out.
-        every = found <= MERGING * n
+    more = _tree_links(shared, nodes, parts, docs)
+    if not more.isEmpty():
+        # Components so far, each a star, with the links that the trees have found.
+        parts = keep(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "parts")
     drop_kept(shared)
     rows = rows_of.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     least = rows.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"))

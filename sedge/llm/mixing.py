@@ -92,6 +92,8 @@ def mix(sizes: DataFrame, pieces: bool = False) -> DataFrame:
     shards = apportion(shards, "shard_size", F.col("source_quota"), ["idx"], ["shard"])
     shards = shards.withColumn("blocks", F.ceil(F.col("shard_size") / BLOCK_WORDS).cast("long")).where("blocks > 0")
     shards = shards.withColumn("quota", F.least(F.col("quota"), F.col("blocks") * MOST))
+    # A shard has some 4,000 blocks: their list is made where the shard is dealt to, never where AQE would put a few small rows together.
+    shards = shards.repartition(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")), "idx", "shard")
     chosen = shards.select("idx", "shard", F.floor(F.col("quota") / F.col("blocks")).alias("every"), F.pmod("quota", F.col("blocks")).alias("extra"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     seeded = Window.partitionBy("idx", "shard").orderBy(_seeded(F.col("idx"), F.col("shard"), F.col("block")), "block")
     chosen = chosen.select("idx", "shard", "block", (F.col("every") + (F.row_number().over(seeded) <= F.col("extra")).cast("long")).alias("times"))

@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -26,11 +28,17 @@ CASES = [
 
 
 def test_base_spans_equal_brute_force(spark):
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(CASES)], "doc_id long, text string, _base string").drop("_base")
-    found = {r.doc_id: r.s for r in secrets.with_spans(secrets.scanned(df)).select("doc_id", secrets._joined("_base").alias("s")).collect()}
+    df = spark.createDataFrame(list(enumerate(CASES)), "doc_id long, text string")
+    found = {r.doc_id: r.s for r in secrets.with_spans(secrets.scanned(df), df).select("doc_id", secrets._joined("_base").alias("s")).collect()}
     assert found == {i: brute(t) for i, t in enumerate(CASES)}
 
 
+def test_many_matches_of_a_long_text(spark):
+    text = " é ".join(f"token=secret{i:06d}" for i in range(3000)) + " " + " ".join("ab" * 20 for _ in range(129))
+    df = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    assert [r.s for r in secrets.scanned(df).select(secrets._joined("_base").alias("s")).collect()] == [brute(text)] * 2
+
+
 def test_query_equals_brute_force(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = secrets.op10(spark, SF).collect()
@@ -39,16 +47,77 @@ def test_query_equals_brute_force(spark):
         assert r.base_sha256 == hashlib.sha256(brute(texts[r.doc_id]).encode()).hexdigest()
 
 
-def test_battery_tells_random_from_regular(spark):
-    import random
+def brute_level(token, classes):
+    """The battery in plain Python, with the library's normal tail."""
+    alphabet = "".join(sorted("".join(classes)))
+    k, n = len(alphabet), len(token)
+    tail = lambda z: max(math.erfc(z / math.sqrt(2)) / 2, 1e-300)
+    x = [alphabet.index(c) for c in token]
+    spread, v = (sum(token.count(c) ** 2 for c in alphabet) * k / n - n) / (k - 1), 2 / (9 * (k - 1))
+    p = [tail((spread ** (1 / 3) - (1 - v)) / math.sqrt(v))]
+    chi = sum((sum(token.count(c) for c in part) - n * len(part) / k) ** 2 / (n * len(part) / k) for part in classes)
+    p.append(math.exp(-chi / 2) if len(classes) == 3 else 2 * tail(math.sqrt(chi)) + math.sqrt(2 * chi / math.pi) * math.exp(-chi / 2))
+    side = [a > (k - 1) / 2 for a in x]
+    high, runs = sum(side), 1 + sum(a != b for a, b in zip(side, side[1:]))
+    want = 2 * high * (n - high) / n + 1
+    var = (want - 1) * (want - 2) / (n - 1)
+    p.append(2 * tail(abs(runs - want) / math.sqrt(var)) if var > 0 else 0)
+    mean = sum(x) / n
+    total, cross = sum((a - mean) ** 2 for a in x), sum((a - mean) * (b - mean) for a, b in zip(x, x[1:]))
+    p.append(2 * tail(abs((cross / total + 1 / n) * math.sqrt(n))) if total else 0)
+    return -10 * math.log10(max(min(1.0, 4 * min(p)), 1e-300))
+
+
+def random_tokens(rng, each, lengths=(20, 25, 32, 40, 64, 90)):
+    return [(name, classes, "".join(rng.choice("".join(classes)) for _ in range(n))) for name, _, classes in secrets.ENCODINGS for n in lengths for _ in range(each)]
+
+
+ORDINARY = [
+    "getUserAccountByEmail2Address", "src/main/java/org/example/spark/Utils", "internationalization_of_things", "AbstractSingletonProxyFactoryBean", "backup-2024-01-01T00-00-00-file",
+    "aaaaaaaaaaaaaaaaaaaaaaaaaa", "HelloWorldThisIsATestOfTheSystem123", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "12345678901234567890123", "deadbeefdeadbeefdeadbeef", "CONFIGURATION-DIRECTORY-PATH-2", "abcabcabc123123abcabcabc123123",
+]
+
 
-    rng = random.Random(1)
-    good = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(50)]
-    bad = ["a1" * 20, "1111aaaa" * 5, "0123456789abcdef0123456789abcdef"]
-    df = spark.createDataFrame([(t,) for t in good + bad], "t string").select("t", secrets.battery(F.col("t"), "0123456789abcdef").alias("p"))
-    p = {r.t: r.p for r in df.collect()}
-    assert sum(p[t] < 0.01 for t in good) <= 3
-    assert all(p[t] < 0.001 for t in bad[:2])
+def test_battery_equals_brute_force(spark):
+    cases = [(t, c) for _, c, t in random_tokens(random.Random(2), 4)] + [("a1" * 20, ("0123456789", "ae", "bcdf")), ("0" * 30, ("0123456789", "ae", "bcdf")), ("abcdefghijklmnopqrstuvwxyz", secrets.ENCODINGS[3][2])]
+    df = spark.createDataFrame([(t, list(c)) for t, c in cases], "t string, c array<string>")
+    for r in df.select("t", "c", secrets._level(F.col("t"), F.col("c")).alias("level")).collect():
+        want = brute_level(r.t, r.c)
+        assert abs(r.level - min(want, secrets.LEVELS)) <= 1.001 or (r.level > 60 and want > 60), (r.t, r.level, want)
+
+
+def test_reported_levels_equal_benjamini_hochberg():
+    rng = random.Random(3)
+    for _ in range(50):
+        tokens, decoys = ([0] * (secrets.LEVELS + 1) for _ in range(2))
+        own = [rng.choice([rng.randint(0, 12), rng.randint(0, 120)]) for _ in range(rng.randint(1, 60))]
+        others = [rng.randint(rng.choice([0, 20, 60]), 200) for _ in range(rng.randint(0, 800))]
+        for into, levels in ((tokens, own), (decoys, others)):
+            for v in levels:
+                into[v] += 1
+        p = sorted((1 + sum(d <= v for d in others)) / (1 + len(others)) for v in own if v <= secrets.MOST_LEVEL)
+        passed = max([k for k in range(1, len(p) + 1) if p[k - 1] <= secrets.FDR * k / len(own)], default=0)
+        most = secrets._greatest_reported(tokens, decoys)
+        assert sum(v <= (-1 if most is None else most) for v in own) == passed
+
+
+def test_planted_tokens_are_found_and_ordinary_ones_left(spark):
+    rng = random.Random(4)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    random.Random(5).shuffle(texts)
+    planted, rows = {}, []
+    tokens = [t for _, _, t in random_tokens(rng, 8, (20, 32, 64))]
+    tokens = [t for t in tokens if not re.search("[0-9a-f]{32}|AKIA", t)]
+    for i, text in enumerate(texts):
+        extra = [t for t in tokens[i::len(texts)]] if i < len(tokens) else [rng.choice(ORDINARY)] if i % 3 == 0 else []
+        rows.append((i, " ".join([text, *extra])))
+        planted[i] = set(extra) & set(tokens)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: {rows[r.doc_id][1][x.start : x.end] for x in r._spans if x.kind == "random"} for r in secrets.with_spans(secrets.scanned(df), df).collect()}
+    right = sum(len(found[i] & planted[i]) for i in found)
+    print("found", right, "of", len(tokens), "beside", sum(len(found[i] - planted[i]) for i in found))
+    assert right >= 0.75 * len(tokens)
+    assert sum(len(found[i] - planted[i]) for i in found) <= 0.02 * right
 
 
 def test_redaction_masks_and_keeps_the_rest(spark):
@@ -59,4 +128,5 @@ def test_redaction_masks_and_keeps_the_rest(spark):
 
 
 def test_empty_table(spark):
-    assert secrets.with_spans(secrets.scanned(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert secrets.with_spans(secrets.scanned(none), none).count() == 0

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_slices
 
 #: Frequent words in the automaton, at most.
 LEXICON_WORDS = 131_072
@@ -39,6 +39,8 @@ LEXICON_WORDS = 131_072
 COUNTED_WORDS = 400_000
 #: Encoded words that a worker remembers between texts.
 REMEMBERED_WORDS = 300_000
+#: Texts that are encoded side by side: their characters and rows.
+CHUNK_CHARS, CHUNK_ROWS = 1_000_000, 256
 #: Words beyond so many symbols are merged one by one with a heap.
 LONG_WORD = 48
 END = "</w>"
@@ -369,30 +371,26 @@ def compile_lexicon(tokenizer: Tokenizer, words: list[str]) -> bytes:
     return Lexicon.build({w.encode(): i for w, i in zip(plain, ids, strict=True)})
 
 
-def encode(docs: DataFrame, tokenizer: Tokenizer, lexicon: bytes, columns: list[str], with_ids: bool = False) -> DataFrame:
-    """Adds n_tokens, ids_sha256 and decoded_sha256 to ``columns``; with ``with_ids`` also ids and the decoded text."""
+def encode(docs: DataFrame, tokenizer: Tokenizer, lexicon: bytes, columns: list[str], with_ids: bool = False, with_text: bool = False) -> DataFrame:
+    """Adds n_tokens, ids_sha256 and decoded_sha256 to ``columns``; with ``with_ids`` also ids, with ``with_text`` the decoded text."""
     shared = docs.sparkSession.sparkContext.broadcast((tokenizer, lexicon))
     taken = docs.select(*columns, F.col("text").alias("_text"))
     schema = taken.drop("_text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    if with_ids:
-        schema = schema.add("ids", "string").add("decoded", "string")
+    for name, shown in (("ids", with_ids), ("decoded", with_text)):
+        schema = schema.add(name, "string") if shown else schema
 
     def run(batches):
         encoder = Encoder(shared.value[0], Lexicon.mapped(shared.value[1]))
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                n, ids, text, more = [], [], [], ([], [])
-                for k, x, t in encoder.encode_batch(part.column(part.num_columns - 1).to_pylist()):
+            for part in text_slices(batch, batch.num_columns - 1, CHUNK_CHARS, CHUNK_ROWS):
+                n, hashes, shown = [], ([], []), ([], [])
+                for k, *both in encoder.encode_batch(part.column(part.num_columns - 1).to_pylist()):
                     n.append(k)
-                    ids.append(hashlib.sha256(x.encode()).hexdigest())
-                    text.append(hashlib.sha256(t.encode()).hexdigest())
-                    if with_ids:
-                        more[0].append(x)
-                        more[1].append(t)
-                arrays = [*part.columns[:-1], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())]
-                if with_ids:
-                    arrays += [pa.array(x, pa.string()) for x in more]
+                    for i, x in enumerate(both):
+                        hashes[i].append(hashlib.sha256(x.encode()).hexdigest())
+                        if (with_ids, with_text)[i]:
+                            shown[i].append(x)
+                arrays = [*part.columns[:-1], pa.array(n, pa.int64()), *[pa.array(x, pa.string()) for x in hashes], *[pa.array(x, pa.string()) for x, asked in zip(shown, (with_ids, with_text), strict=True) if asked]]
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     return taken.mapInArrow(run, schema)

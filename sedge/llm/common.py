@@ -5,7 +5,10 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words are runs of anything but these six ASCII white-space characters.
@@ -43,6 +46,16 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def text_slices(batch: pa.RecordBatch, column: int, chars: int, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have about ``chars`` characters, so that few texts are Python strings at a time."""
+    at, held = 0, 0
+    for i, n in enumerate(pc.utf8_length(batch.column(column)).to_pylist()):
+        held += n or 0
+        if held >= chars or i + 1 - at >= rows or i + 1 == batch.num_rows:
+            yield batch.slice(at, i + 1 - at)
+            at, held = i + 1, 0
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there, and it survives lost executors."""
     spark = df.sparkSession

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shielded, table
+from .common import shielded, table, text_slices
 
 UNKNOWN = "und"
 #: About so many labelled rows are learned from, chosen by a hash of their id.
@@ -31,7 +31,7 @@ SWITCH = 8.0
 SCRIPT_SHARE = 0.01
 #: Words that are labelled side by side; longer texts are joined from such segments, exactly.
 SEGMENT = 64
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 NEVER = -1e4
 # First code points of the Unicode blocks that tell scripts apart.
 SCRIPTS = (
@@ -217,16 +217,21 @@ def label(model: Model, texts: list[str | None], spans: bool = False) -> list[tu
     return out
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Adds lang_pred and score to the columns ``keep`` of ``docs``, which has a column text."""
+def predict(docs: DataFrame, model: Model, keep: list[str], least: float | None = None) -> DataFrame:
+    """Adds lang_pred and score to the columns ``keep`` of ``docs``, which has a column text; ``least`` lets only rows of a known language and such a score through."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    taken = docs.select(*keep, F.col("text").alias("_text"))
-    schema = taken.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    own = "text" in keep
+    taken = docs.select(*keep) if own else docs.select(*keep, "text")
+    at = taken.columns.index("text")
+    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
         for batch in batches:
-            found = label(shared.value, batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+            for part in text_slices(batch, at, CHUNK_CHARS):
+                found = label(shared.value, part.column(at).to_pylist())
+                columns = [c for i, c in enumerate(part.columns) if own or i != at]
+                out = pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], schema.names)
+                yield out if least is None else out.filter(pa.array([x[0] != UNKNOWN and x[1] >= least for x in found], pa.bool_()))
 
     return taken.mapInArrow(run, schema)
 
@@ -251,9 +256,7 @@ LEAST_SCORE = 0.4
 @shielded
 def kept(docs: DataFrame) -> DataFrame:
     """Documents whose language is known and certain enough, with their own columns."""
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    found = predict(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], "text"), fit_documents(docs), names)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+    return predict(docs, fit_documents(docs), docs.columns, LEAST_SCORE).select(*docs.columns)
 
 
 QUERIES = {"op3_language": op3}

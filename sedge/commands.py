@@ -22,11 +22,19 @@ from .functions import filters
 from .functions.collation import Collation
 from .functions.paths import Scope, check_path, resolve
 from .operators import constraints, pipeline, reads, shaping, updates
-from .operators.frame import Frame
+from .operators.frame import ORD, Frame
 from .sources.catalog import Catalog, documents_of, frame_of, infer, merged, widened
 from .streaming.cursors import MOST, Cursors
 
 WRITES = ("insert", "update", "delete", "findAndModify")
+#: Commands by name, with their other spellings.
+COMMANDS = {
+    **{c: c for c in (
+        "hello", "isMaster", "ping", "buildInfo", "endSessions", "listDatabases", "create", "listCollections", "collMod", "drop", "dropDatabase", "createIndexes",
+        "listIndexes", "dropIndexes", "find", "aggregate", "count", "distinct", "getMore", "killCursors", "insert", "update", "delete", "findAndModify",
+    )},
+    "findandmodify": "findAndModify", "ismaster": "isMaster", "buildinfo": "buildInfo",
+}
 REPLAYS = 128
 WORKFLOW = {"$db", "lsid", "txnNumber", "readConcern", "writeConcern", "autocommit", "startTransaction", "$clusterTime", "$readPreference", "comment"}
 
@@ -45,17 +53,19 @@ class Client:
     def __init__(self, catalog: Catalog, now=lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)):
         self.catalog, self.now, self.cursors = catalog, now, Cursors()
         self.replays: OrderedDict = OrderedDict()
+        #: Number of the manifest at which each collection was last read, so that a write of another client isn't lost.
+        self.read_at: dict[tuple[str, str], int | None] = {}
 
     def run(self, db: str, command: dict) -> dict:
         name = next(iter(command))
-        name = {"findandmodify": "findAndModify", "ismaster": "isMaster", "buildinfo": "buildInfo"}.get(name, name)
         if "findAndModify" in command and "findandmodify" in command:
             raise parse_error("findAndModify has both command aliases")
-        handler = getattr(self, f"_{name}", None)
         if name in ("commitTransaction", "abortTransaction", "prepareTransaction"):
             raise option_error("transactions are not supported")
-        if handler is None:
+        if name not in COMMANDS:
             raise QueryError(errors.NO_COMMAND, f"command {name!r} is not supported yet")
+        name = COMMANDS[name]
+        handler = getattr(self, f"_{name}")
         self._workflow(name, command)
         key = None
         if name in WRITES and "txnNumber" in command:
@@ -65,7 +75,8 @@ class Client:
                 if body != repr(command):
                     raise option_error(f"txnNumber {command['txnNumber']} was already used for a different command")
                 return reply
-        reply = handler(db, command[next(iter(command))], {k: v for k, v in command.items() if k not in WORKFLOW})
+        with errors.coded():
+            reply = handler(db, command[next(iter(command))], {k: v for k, v in command.items() if k not in WORKFLOW})
         if key:
             self.replays[key] = (repr(command), reply)
             while len(self.replays) > REPLAYS:
@@ -280,8 +291,10 @@ class Client:
 
     def _live(self, db: str, name: str) -> DataFrame:
         """A collection without its expired documents."""
+        manifest = self.catalog.manifest(db, name)
+        self.read_at[db, name] = manifest and manifest["n"]
         df = self.catalog.read(db, name)
-        for i in (self.catalog.manifest(db, name) or {"indexes": []})["indexes"]:
+        for i in (manifest or {"indexes": []})["indexes"]:
             if "expireAfterSeconds" in i:
                 df = constraints.live(df, next(iter(i["key"])), i["expireAfterSeconds"], self.now())
         return df
@@ -310,8 +323,18 @@ class Client:
             shaping.check_count("batchSize", doc["batchSize"])
         if doc.get("explain"):
             return self._explained(db, name, doc, query)
-        out = reads.find(self._live(db, name), query, doc.get("projection"), doc.get("sort"), doc.get("skip", 0), doc.get("limit", 0), doc.get("collation"), ordered=True)
-        return self.cursors.open(f"{db}.{name}", out, doc.get("batchSize"), bool(doc.get("singleBatch")))
+        live, shape, by = self._live(db, name), doc.get("projection"), doc.get("collation")
+        out = reads.find(live, query, shape, doc.get("sort"), doc.get("skip", 0), doc.get("limit", 0), by, ordered=True)
+        if ORD in live.columns and not (doc.get("sort") or doc.get("skip") or doc.get("limit")):
+            out = reads.pages(live, query, shape, by)
+        return self._opened(f"{db}.{name}", out, doc.get("batchSize"), bool(doc.get("singleBatch")), self.catalog.pin(db, [name]))
+
+    def _opened(self, namespace: str, out, batch, single: bool, done) -> dict:
+        try:
+            return self.cursors.open(namespace, out, batch, single, done)
+        except Exception:
+            done()
+            raise
 
     def _aggregate(self, db, name, doc):
         self._options(doc, {"pipeline", "cursor", "collation"})
@@ -323,7 +346,7 @@ class Client:
             if stage == "$lookup" and "." in spec["from"]:
                 raise option_error("$lookup supports collections of the same database only")
         out = pipeline.aggregate(self._live(db, name), doc["pipeline"], lambda c: self._live(db, c), doc.get("collation"), ordered=True)
-        return self.cursors.open(f"{db}.{name}", out, batch)
+        return self._opened(f"{db}.{name}", out, batch, False, self.catalog.pin(db, [name, *[spec["from"] for stage, spec in stages if stage == "$lookup"]]))
 
     def _count(self, db, name, doc):
         self._options(doc, {"query", "skip", "limit", "collation", "hint", "explain"})
@@ -362,11 +385,17 @@ class Client:
         if spec and not doc.get("bypassDocumentValidation") and not df.where(~constraints.valid(spec, df)).isEmpty():
             raise QueryError(errors.INVALID_DOCUMENT, "document failed validation")
 
-    def _store(self, db: str, name: str, df: DataFrame, changed: DataFrame | None, doc: dict) -> None:
+    def _store(self, db: str, name: str, df: DataFrame, changed: DataFrame | None, doc: dict, following: int | None = None) -> None:
         if changed is not None:
             self._check_valid(db, name, changed, doc)
         self._check_unique(df, (self.catalog.manifest(db, name) or {"indexes": []})["indexes"])
-        self.catalog.replace(db, name, df)
+        self._replace(db, name, df, following)
+
+    def _replace(self, db: str, name: str, df: DataFrame, following: int | None = None) -> None:
+        self.catalog.replace(db, name, df, following, self.read_at.get((db, name)))
+
+    def _next(self, db: str, name: str) -> int:
+        return (self.catalog.manifest(db, name) or {}).get("next", 0)
 
     def _insert(self, db, name, doc):
         self._options(doc, {"documents", "ordered", "bypassDocumentValidation"})
@@ -377,12 +406,13 @@ class Client:
             self.catalog.create(db, name)
         df = self._live(db, name)
         batch = [d if "_id" in d else {"_id": secrets.token_hex(12), **d} for d in batch]
-        indexes = self.catalog.manifest(db, name)["indexes"]
+        indexes, place = self.catalog.manifest(db, name)["indexes"], self._next(db, name)
 
         def fits(some: list[dict]) -> DataFrame:
             """The collection with some documents more; raises where one doesn't fit."""
             kind = df.schema if self.catalog.manifest(db, name)["version"] else T.StructType()
-            new = frame_of(self.catalog.spark, some, kind)
+            new = frame_of(self.catalog.spark, [{**d, ORD: place + i} for i, d in enumerate(some)], kind)
+            new = new.withColumn(ORD, F.col(ORD).cast("long"))
             self._check_valid(db, name, new, doc)
             out = widened(df, new.schema).unionByName(new) if kind.fields else new
             ids = [{"name": "_id_", "key": {"_id": 1}, "unique": True}]
@@ -403,7 +433,7 @@ class Client:
                     if doc.get("ordered", True):
                         break
         if good:
-            self.catalog.replace(db, name, out)
+            self._replace(db, name, out, place + len(good))
         return {"n": len(good), "ok": 1.0} | ({"writeErrors": bad} if bad else {})
 
     def _update(self, db, name, doc):
@@ -412,7 +442,8 @@ class Client:
         upserted, bad = [], []
         for k, u in enumerate(doc.get("updates") or []):
             try:
-                a, b, new = self._one_update(db, name, u, doc)
+                with errors.coded():
+                    a, b, new = self._one_update(db, name, u, doc)
                 n, modified = n + a, modified + b
                 if new is not None:
                     upserted.append({"index": k, "_id": new})
@@ -429,7 +460,15 @@ class Client:
             raise QueryError(errors.BAD_VALUE, "a replacement updates one document only")
         self._hint(db, name, u.get("hint"))
         df = self._live(db, name)
-        out = updates.flagged(df, query, change, multi, u.get("arrayFilters"), u.get("collation"))
+        # Counts, checks and the new version all read the updated documents: they are made once.
+        out = updates.flagged(df, query, change, multi, u.get("arrayFilters"), u.get("collation")).persist()
+        try:
+            return self._updated(db, name, u, doc, df, out)
+        finally:
+            out.unpersist()
+
+    def _updated(self, db: str, name: str, u: dict, doc: dict, df: DataFrame, out: DataFrame) -> tuple[int, int, object]:
+        query, change = u.get("q") or {}, u.get("u")
         hits, changed = out.agg(F.count_if("__hit"), F.count_if("__changed")).first()
         if not hits:
             if not u.get("upsert"):
@@ -437,8 +476,10 @@ class Client:
             row = updates.upserted(df, query, change)
             if "_id" not in row.columns or row.first()["_id"] is None:
                 row = row.withColumn("_id", F.lit(secrets.token_hex(12)))
+            place = self._next(db, name)
+            row = row.withColumn(ORD, F.lit(place).cast("long"))
             kind = merged(df.schema, row.schema)
-            self._store(db, name, widened(df, kind).unionByName(widened(row, kind)), row, doc)
+            self._store(db, name, widened(df, kind).unionByName(widened(row, kind)), row, doc, place + 1)
             return 1, 0, row.first()["_id"]
         if changed:
             clean = out.drop("__hit", "__changed", "__old")
@@ -454,9 +495,10 @@ class Client:
                 self._hint(db, name, d.get("hint"))
                 df = self._live(db, name)
                 left = updates.delete(df, d.get("q") or {}, d.get("limit", 0), d.get("collation"))
-                gone = df.count() - left.count()
+                with errors.coded():
+                    gone = df.count() - left.count()
                 if gone:
-                    self.catalog.replace(db, name, left)
+                    self._replace(db, name, left)
                 n += gone
             except QueryError as e:
                 bad.append({"index": k, "code": e.code, "errmsg": e.message})
@@ -485,13 +527,13 @@ class Client:
         df = self._live(db, name)
         image = lambda d: (documents_of(reads.find(d, {}, shape)) or [None])[0]
         if remove:
-            numbered = df.withColumn("__row", F.monotonically_increasing_id())
-            frame = Frame(numbered.where(filters.matches(query, Scope.of(df), by)))
-            frame = shaping.sort(frame, doc["sort"], by) if doc.get("sort") else Frame(frame.df, (("__row", True),))
+            numbered = df if ORD in df.columns else df.withColumn(ORD, F.monotonically_increasing_id())
+            frame = Frame(numbered.where(filters.matches(query, Scope.of(df), by))).numbered()
+            frame = shaping.sort(frame, doc["sort"], by) if doc.get("sort") else frame
             one = frame.df.orderBy(*frame.keys()).limit(1)
             value = image(one.select(*df.columns))
             if value is not None:
-                self.catalog.replace(db, name, numbered.join(F.broadcast(one.select("__row")), "__row", "left_anti").drop("__row"))
+                self._replace(db, name, numbered.join(F.broadcast(one.select(ORD)), ORD, "left_anti"))
             return {"lastErrorObject": {"n": int(value is not None)}, "value": value, "ok": 1.0}
         out = updates.flagged(df, query, doc["update"], False, doc.get("arrayFilters"), doc.get("collation"), doc.get("sort"))
         hit = out.where("__hit")

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HIDDEN = "__o"
+#: The place of a stored document in its collection, written with it: rising in the order of insertion.
+ORD = "__ord"
 
 
 @dataclass(frozen=True)
 class Frame:
     """``order`` lists (column, ascending); None is the order of the scan, not yet a column.
 
-    Keeping the scan's order out of the plan lets filters and projections reach the scan.
+    Keeping the scan's order out of the plan lets filters and projections reach the scan. Stored
+    collections bring their order as a column.
     """
 
     df: DataFrame
@@ -25,6 +28,8 @@ class Frame:
         """With the order in columns."""
         if self.order is not None:
             return self
+        if ORD in self.df.columns:
+            return Frame(self.df, ((ORD, True),))
         name = self.fresh()
         return Frame(self.df.withColumn(name, F.monotonically_increasing_id()), ((name, True),))
 

@@ -13,7 +13,7 @@ from ..functions import expressions, filters
 from ..functions.collation import Collation
 from ..functions.paths import Scope, check_path, resolve, with_path
 from . import shaping
-from .frame import Frame
+from .frame import ORD, Frame
 
 ACCUMULATORS = ("$sum", "$avg", "$min", "$max", "$first", "$last", "$push", "$addToSet")
 ORDERED = {"$first", "$last", "$push", "$addToSet"}
@@ -130,11 +130,32 @@ def aggregate(source: DataFrame | Frame, pipeline: list, lookup: Callable[[str],
     """Run a pipeline. ``lookup`` gives foreign collections by name; ``ordered`` sorts the result by the stream's order."""
     stages, by = parse(pipeline), Collation.parse(collation)
     frame = source if isinstance(source, Frame) else Frame(source)
+    fused = False
     for i, (name, spec) in enumerate(stages):
+        if fused:
+            fused = False
+            continue
+        if name == "$lookup" and i + 1 < len(stages) and (keep := _unwinds(stages[i + 1], spec["as"])) is not None:
+            # The list that would be unwound at once is never made: the join's rows are the result.
+            joined = look_up(frame, spec, lookup, by, keep)
+            if joined is not None:
+                frame, fused = joined, True
+                continue
         frame = _run(frame, name, spec, lookup, by, ordered or _order_shows(stages[i + 1 :]))
+    if ordered and frame.order is None and ORD in frame.df.columns:
+        frame = frame.numbered()
     return frame.result(ordered)
 
 
+def _unwinds(stage: tuple[str, object], path: str) -> bool | None:
+    """Whether a stage that unwinds ``path`` keeps rows without elements; None where it does something else."""
+    name, spec = stage
+    if name != "$unwind":
+        return None
+    own, keep, index = _unwind_spec(spec)
+    return keep if own == path and index is None else None
+
+
 def _order_shows(rest: list[tuple[str, object]]) -> bool:
     """Whether a later stage, before the next sort, depends on the order of its input."""
     for name, spec in rest:
@@ -195,7 +216,8 @@ def unwind(frame: Frame, path: str, keep: bool, index: str | None) -> Frame:
     df = df.withColumn(name, new)
     if index:
         df = df.withColumn(index, F.col(pos))
-    order = None if frame.order is None else (*frame.order, (pos, True))
+    stored = frame.order is None and ORD in frame.df.columns
+    order = ((ORD, True), (pos, True)) if stored else None if frame.order is None else (*frame.order, (pos, True))
     if order is None:  # the scan's order holds after a generator; positions need not be kept
         df = df.drop(pos)
     return Frame(df.drop(item), order)
@@ -211,8 +233,17 @@ def _accumulator(op: str, c: Column, kind: T.DataType, key: Column | None) -> Co
         return (F.min if op == "$min" else F.max)(c)
     if op in ("$first", "$last"):
         return (F.min_by if op == "$first" else F.max_by)(F.struct(c.alias("v")), key).getField("v")
-    every = F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), c.alias("v")))), lambda x: x["v"])
-    return every if op == "$push" else F.array_distinct(every)
+    return F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), c.alias("v")))), lambda x: x["v"])
+
+
+def _sets(df: DataFrame, group_id: Column, key: Column, values: dict[str, Column]) -> list[DataFrame]:
+    """(_id, set) for each $addToSet: values are made unique before any list is, in the order in which they were first seen."""
+    out = []
+    for k, c in values.items():
+        first = df.groupBy(group_id.alias("_id"), c.alias("__v")).agg(F.min(key).alias("__k"))
+        listed = F.array_sort(F.collect_list(F.struct(F.col("__k").alias("k"), F.col("__v").alias("v"))))
+        out.append(first.groupBy("_id").agg(F.transform(listed, lambda x: x["v"]).alias(k)))
+    return out
 
 
 def group(frame: Frame, spec: dict, by: Collation, shows: bool) -> Frame:
@@ -222,7 +253,7 @@ def group(frame: Frame, spec: dict, by: Collation, shows: bool) -> Frame:
         frame, key = frame.rising()
     scope = Scope.of(frame.df)
     group_id, _ = expressions.compile(spec["_id"], scope, by)
-    made = []
+    made, sets = [], {}
     for k, acc in spec.items():
         if k == "_id":
             continue
@@ -231,18 +262,32 @@ def group(frame: Frame, spec: dict, by: Collation, shows: bool) -> Frame:
             made.append((F.count(F.lit(1)) * e).alias(k))
             continue
         c, kind = expressions.compile(e, scope, by)
+        if op == "$addToSet":
+            sets[k] = c
+            continue
         made.append(_accumulator(op, c, kind, key).alias(k))
     first = [F.min(key).alias(frame.fresh() + "g")] if shows else []
+    if sets:
+        parts = _sets(frame.df, group_id, key, sets)
+        if made or first:
+            parts.append(frame.df.groupBy(group_id.alias("_id")).agg(*made, *first))
+        df = parts[0]
+        for other in parts[1:]:
+            df = df.withColumnRenamed("_id", "__g").join(other, F.col("__g").eqNullSafe(F.col("_id"))).drop("__g")
+        place = [c for c in df.columns if c.startswith("__")]
+        return Frame(df.select("_id", *[f"`{k}`" for k in spec if k != "_id"], *place), ((place[-1], True),) if shows else ())
     if not made and not first:
         return Frame(frame.df.groupBy(group_id.alias("_id")).agg(F.count(F.lit(1)).alias("__n")).drop("__n"), ())
     df = frame.df.groupBy(group_id.alias("_id")).agg(*made, *first)
     return Frame(df, ((df.columns[-1], True),) if shows else ())
 
 
-def look_up(frame: Frame, spec: dict, lookup, by: Collation) -> Frame:
+def look_up(frame: Frame, spec: dict, lookup, by: Collation, unwound: bool | None = None) -> Frame | None:
     """Left-outer nest join on equality, missing and null alike; foreign documents in their own order.
 
-    Keys that are arrays, on either side, are exploded, so that the join is on plain keys.
+    Keys that are arrays, on either side, are exploded, so that the join is on plain keys. Only foreign
+    documents that some key asks for are gathered. ``unwound`` (not None) gives a row per match instead of
+    lists, with or without rows of no match; None is returned where local keys are arrays.
     """
     if lookup is None:
         raise QueryError(INVALID_OPTIONS, "$lookup needs a catalog of collections")
@@ -256,6 +301,8 @@ def look_up(frame: Frame, spec: dict, lookup, by: Collation) -> Frame:
         right = right.withColumn("__k", F.explode_outer(_array_keys(F.col("__k"))))
     left = frame
     left_key, left_type, left_many = _key(Scope.of(left.df), spec["localField"])
+    if unwound is not None and left_many:
+        return None
     numeric = isinstance(left_type, T.NumericType) and isinstance(right_type, T.NumericType)
     fits = numeric or filters.type_name(left_type) == filters.type_name(right_type) or isinstance(left_type, T.NullType) or isinstance(right_type, T.NullType)
     wide = expressions.wider(left_type, right_type) if numeric else left_type if not isinstance(left_type, T.NullType) else right_type
@@ -264,7 +311,15 @@ def look_up(frame: Frame, spec: dict, lookup, by: Collation) -> Frame:
         c = c if fits else F.struct(F.lit(filters.type_name(kind)).alias("t"), c.cast("string").alias("v"))
         return by.key(c.cast(wide) if numeric or isinstance(kind, T.NullType) else c, wide) if fits else F.when(c["v"].isNotNull(), c)
 
-    right = right.select(cast(F.col("__k"), right_type).alias("__k"), "__d").groupBy("__k").agg(F.collect_list("__d").alias("__all"))
+    right = right.select(cast(F.col("__k"), right_type).alias("__k"), "__d")
+    if unwound is not None:
+        df = left.df.withColumn("__lk", cast(left_key, left_type)).join(right, F.col("__lk").eqNullSafe(F.col("__k")), "left" if unwound else "inner")
+        place = frame.fresh() + "l"
+        order = left.order if left.order is not None else ((ORD, True),) if ORD in left.df.columns else None
+        df = df.select(*left.df.columns, F.col("__d.s").alias(place), F.col("__d.d").alias("__as"))
+        return _placed(Frame(df if order is not None else df.drop(place), order and (*order, (place, True))), spec["as"])
+    asked = (left.df.select(F.explode_outer(_array_keys(left_key)).alias("__lk")) if left_many else left.df.select(left_key.alias("__lk"))).select(cast(F.col("__lk"), left_type).alias("__lk")).distinct()
+    right = right.join(asked, F.col("__k").eqNullSafe(F.col("__lk")), "left_semi").groupBy("__k").agg(F.collect_list("__d").alias("__all"))
     nested = lambda all_: F.coalesce(F.transform(F.array_sort(all_), lambda x: x["d"]), F.array().cast(T.ArrayType(_document_type(f)))).alias("__as")
     if not left_many:
         df = left.df.withColumn("__lk", cast(left_key, left_type)).join(right, F.col("__lk").eqNullSafe(F.col("__k")), "left").select(*left.df.columns, nested(F.col("__all")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from ..functions.paths import Scope, Value, resolve, with_path
 from ..sources.catalog import cast_to, merged
 from . import pipeline as stages
 from . import shaping
-from .frame import Frame
+from .frame import ORD, Frame
 
 SCALAR = ("$set", "$unset", "$inc", "$mul", "$min", "$max")
 ARRAY = ("$push", "$addToSet", "$pop", "$pull", "$pullAll")
@@ -117,11 +118,13 @@ def _scalar(op: str, c: Column | None, kind: T.DataType | None, v) -> Column | N
         if not isinstance(kind, T.NumericType):
             raise fail(f"{op} requires a numeric field")
         n = typed(v, kind)
+        if isinstance(kind, T.IntegerType):
+            c = c.cast("long")  # an int that outgrows its width becomes a long
         return F.coalesce(c, F.lit(0)) + n if op == "$inc" else F.coalesce(c, F.lit(0)) * n
     return (F.least if op == "$min" else F.greatest)(c, typed(v, kind))
 
 
-def _array(op: str, c: Column | None, kind: T.DataType | None, v) -> Column | None:
+def _array(op: str, c: Column | None, kind: T.DataType | None, v, by: Collation) -> Column | None:
     if c is None:
         if op not in ("$push", "$addToSet"):
             return None
@@ -134,10 +137,10 @@ def _array(op: str, c: Column | None, kind: T.DataType | None, v) -> Column | No
     if op == "$pop":
         return F.slice(c, F.lit(1) if v == 1 else F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))
     if op == "$pull":
-        test = (lambda e: filters.element_matches(e, item, v, Collation())) if isinstance(v, dict) else (lambda e: filters.sure(filters.whole(e, item, v, Collation())))
+        test = (lambda e: filters.element_matches(e, item, v, by)) if isinstance(v, dict) else (lambda e: filters.sure(filters.whole(e, item, v, by)))
         return F.filter(c, lambda e: ~test(e))
     if op == "$pullAll":
-        return F.filter(c, lambda e: ~reduce(lambda a, b: a | b, [filters.sure(filters.whole(e, item, x, Collation())) for x in v], F.lit(False)))
+        return F.filter(c, lambda e: ~reduce(lambda a, b: a | b, [filters.sure(filters.whole(e, item, x, by)) for x in v], F.lit(False)))
     each = [typed(x, item) for x in (v["$each"] if filters.is_operators(v) else [v])]
     have = F.coalesce(c, F.array().cast(kind))
     if op == "$push":
@@ -146,7 +149,17 @@ def _array(op: str, c: Column | None, kind: T.DataType | None, v) -> Column | No
     return F.concat(have, F.filter(new, lambda x: ~F.exists(have, lambda e: e.eqNullSafe(x))))
 
 
-def _positional(path: str, query: dict, array_filters: list, scope: Scope, make) -> tuple[str, Column]:
+def _predicates(query: dict) -> Iterator[tuple[str, object]]:
+    """A filter's predicates on fields, those within $and too."""
+    for k, v in query.items():
+        if k == "$and":
+            for q in v:
+                yield from _predicates(q)
+        else:
+            yield k, v
+
+
+def _positional(path: str, query: dict, array_filters: list, scope: Scope, make, by: Collation) -> tuple[str, Column]:
     """Set the elements of one array that a ``$``, ``$[]`` or ``$[id]`` names."""
     parts = path.split(".")
     at = next(i for i, p in enumerate(parts) if p.startswith("$"))
@@ -154,7 +167,7 @@ def _positional(path: str, query: dict, array_filters: list, scope: Scope, make)
     array = resolve(scope, prefix)
     if array is None or array.many or not isinstance(array.type, T.ArrayType):
         raise fail(f"{path} requires one array")
-    item, by = array.type.elementType, Collation()
+    item = array.type.elementType
 
     def changed(e: Column) -> Column:
         if not rest:
@@ -180,7 +193,7 @@ def _positional(path: str, query: dict, array_filters: list, scope: Scope, make)
         test = (lambda e: filters.element_matches(e, item, own, by)) if "" not in own else (lambda e: filters._field(Value(e, item), own[""] if filters.is_operators(own[""]) else {"$eq": own[""]}, by, scope, ""))
         out = F.transform(array.col, lambda e: F.when(test(e), changed(e)).otherwise(e))
     else:
-        own = [(k[len(prefix) + 1 :], v) for k, v in query.items() if k == prefix or k.startswith(prefix + ".")]
+        own = [(k[len(prefix) + 1 :], v) for k, v in _predicates(query) if k == prefix or k.startswith(prefix + ".")]
         if not own:
             raise fail(f"positional path {path} needs a predicate on {prefix}")
 
@@ -200,7 +213,7 @@ def _positional(path: str, query: dict, array_filters: list, scope: Scope, make)
     return with_path(scope, prefix, lambda _: out)
 
 
-def _modified(df: DataFrame, query: dict, update: dict, array_filters: list, hit: Column) -> DataFrame:
+def _modified(df: DataFrame, query: dict, update: dict, array_filters: list, hit: Column, by: Collation) -> DataFrame:
     def put(df: DataFrame, name: str, new: Column | None) -> DataFrame:
         if new is None:
             return df.drop(name)
@@ -225,10 +238,11 @@ def _modified(df: DataFrame, query: dict, update: dict, array_filters: list, hit
                 df = put(df, *with_path(scope, v, lambda parent, c=old.col, n=v: F.coalesce(c, parent.get(n.rsplit(".", 1)[-1])) if parent.has(n.rsplit(".", 1)[-1]) else c))
                 df = put(df, *with_path(Scope.of(df), path, lambda _, k=old.type: F.lit(None).cast(k)))
             elif "$" in path:
-                df = put(df, *_positional(path, query, array_filters, scope, lambda c, k, op=op, v=v: _scalar(op, c, k, v)))
+                df = put(df, *_positional(path, query, array_filters, scope, lambda c, k, op=op, v=v: _scalar(op, c, k, v), by))
             else:
                 value = resolve(scope, path)
-                new = (_array if op in ARRAY else _scalar)(op, value and value.col, value and value.type, v)
+                c, own = value and value.col, value and value.type
+                new = _array(op, c, own, v, by) if op in ARRAY else _scalar(op, c, own, v)
                 if new is None and value is None:
                     continue
                 df = put(df, *with_path(scope, path, lambda _, n=new: n))
@@ -239,20 +253,22 @@ def flagged(df: DataFrame, query: dict, update, multi: bool = True, array_filter
     """The updated documents with __hit (matched) and __changed (matched and different)."""
     kind = parse(update, array_filters)
     match = filters.matches(query, Scope.of(df), Collation.parse(collation))
-    columns = df.columns
+    columns = [c for c in df.columns if not c.startswith("__")]
     if multi:
         df = df.withColumn("__hit", match)
     else:
         # The first match in order is one row: its number joins back without a shuffle.
-        df = df.withColumn("__row", F.monotonically_increasing_id())
-        frame = Frame(df.where(match))
-        frame = shaping.sort(frame, sort, Collation.parse(collation)) if sort else Frame(frame.df, (("__row", True),))
-        one = frame.df.orderBy(*frame.keys()).limit(1).select("__row", F.lit(True).alias("__hit"))
-        df = df.join(F.broadcast(one), "__row", "left").withColumn("__hit", F.coalesce("__hit", F.lit(False))).drop("__row")
+        stored = ORD in df.columns
+        df = df if stored else df.withColumn(ORD, F.monotonically_increasing_id())
+        frame = Frame(df.where(match)).numbered()
+        frame = shaping.sort(frame, sort, Collation.parse(collation)) if sort else frame
+        one = frame.df.orderBy(*frame.keys()).limit(1).select(ORD, F.lit(True).alias("__hit"))
+        df = df.join(F.broadcast(one), ORD, "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
+        df = df if stored else df.drop(ORD)
     hit = F.col("__hit")
     df = df.withColumn("__old", F.struct(*[F.col(f"`{c}`") for c in columns]))
     if kind == "modifiers":
-        out = _modified(df, query, update, array_filters or [], hit)
+        out = _modified(df, query, update, array_filters or [], hit, Collation.parse(collation))
     elif kind == "replacement":
         if "_id" in update and "_id" in columns:
             out = df.withColumn("_id", F.when(hit & ~F.col("_id").eqNullSafe(typed(update["_id"], df.schema["_id"].dataType)), F.raise_error(F.lit("_id is immutable")).cast(df.schema["_id"].dataType)).otherwise(F.col("_id")))
@@ -274,7 +290,7 @@ def flagged(df: DataFrame, query: dict, update, multi: bool = True, array_filter
         for c in names:
             old = F.col("__old").getField(c) if c in columns else F.lit(None)
             picked.append((old if c == "_id" else F.when(hit, F.col(f"`{c}`")).otherwise(old) if c in new.columns else F.when(~hit, old)).alias(c))
-        out = new.select(*picked, "__hit", "__old")
+        out = new.select(*picked, "__hit", "__old", *[c for c in new.columns if c == ORD])
     names = [c for c in out.columns if not c.startswith("__")]
     before = df.schema["__old"].dataType
     old = F.struct(*[cast_to(F.col("__old").getField(c), before[c].dataType, out.schema[c].dataType).alias(c) if c in columns else F.lit(None).cast(out.schema[c].dataType).alias(c) for c in names])
@@ -331,7 +347,7 @@ def upserted(df: DataFrame, query: dict, change) -> DataFrame:
         merged = {**{k: v for k, v in change.items() if k != "$setOnInsert"}}
         if "$setOnInsert" in change:
             merged["$set"] = {**merged.get("$set", {}), **change["$setOnInsert"]}
-        row = _modified(row, query, merged, [], F.lit(True))
+        row = _modified(row, query, merged, [], F.lit(True), Collation())
     return row
 
 
@@ -342,6 +358,6 @@ def delete(df: DataFrame, query: dict, limit: int = 0, collation=None) -> DataFr
     match = filters.matches(query, Scope.of(df), Collation.parse(collation))
     if not limit:
         return df.where(~match)
-    numbered = df.withColumn("__row", F.monotonically_increasing_id())
-    one = numbered.where(match).orderBy("__row").limit(1).select("__row")
-    return numbered.join(F.broadcast(one), "__row", "left_anti").drop("__row")
+    numbered = df if ORD in df.columns else df.withColumn(ORD, F.monotonically_increasing_id())
+    one = numbered.where(match).orderBy(ORD).limit(1).select(ORD)
+    return numbered.join(F.broadcast(one), ORD, "left_anti").select(*df.columns)

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 
 from sedge.llm import toxicity
@@ -40,3 +42,34 @@ def test_defined_cases(spark):
     got = {r.doc_id: r for r in toxicity.score(docs.drop("score"), index, ["doc_id"]).collect()}
     assert got[1].predicted == 1 and got[1].evidence[0].toxic == 1
     assert got[2].score == got[3].score
+
+
+def test_query_equals_brute_force(spark):
+    """Every score and piece of evidence from all cosines of plain dictionaries."""
+    import math
+
+    sf = "/root/testdata/sf0.001"
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    index = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").where(~toxicity._held_out()))
+    got = {r.doc_id: r for r in toxicity.op4(spark, sf).collect()}
+    count = toxicity.TermCounter(index.vocabulary)
+    df = Counter(t for _, x in texts for t in count(x))
+
+    def vector(text):
+        v = {t: (1 + math.log(n)) * (math.log((len(texts) + 1) / (df[t] + 1)) + 1) for t, n in count(text).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    by_id, place = dict(texts), {int(d): i for i, d in enumerate(index.ids)}
+    examples = {d: vector(by_id[d]) for d in place}
+    assert len(examples) > toxicity.NEIGHBOURS
+    for doc_id, text in texts:
+        q = vector(text)
+        scores = sorted(((-round(sum(x * v.get(t, 0) for t, x in q.items()), 12), place[d], d) for d, v in examples.items()))
+        near = [(d, -c) for c, _, d in scores[: toxicity.NEIGHBOURS] if c < 0]
+        votes = [(c * c * index.votes[place[d]], index.labels[place[d]]) for d, c in near]
+        raw = (toxicity.PRIOR_VOTES * index.prior + sum(w * y for w, y in votes)) / (toxicity.PRIOR_VOTES + sum(w for w, _ in votes))
+        want = float(index.calibrated(np.array([raw]))[0])
+        assert abs(got[doc_id].score - want) < 1e-9
+        assert [round(e.cosine, 9) for e in got[doc_id].evidence] == [round(c, 9) for _, c in near[: toxicity.EVIDENCE]]

@@ -2,9 +2,11 @@
 
 A bounded, balanced sample of labelled rows gives the examples and, by chi-squared, the
 terms (words, and their first letters, so that inflected forms meet): all that pass the test;
-norms are over these terms. Document frequencies come from the whole corpus. Examples stand in blocks of an inverted index with each block's
-greatest weight per term; a text's bound on a block is the cosine it could reach at most, and
-blocks are read by falling bounds until none can change the nearest. Distance-weighted votes,
+norms are over these terms. Document frequencies come from the whole corpus. An inverted index has
+for each term the blocks of examples that hold it, each with its greatest weight and its postings
+(example, weight). A text's bound on a block is the cosine it could reach at most: the sum over its
+own terms of their weights times the block's greatest. Blocks are read by falling bounds, term by
+term over postings, until none can change the nearest. Distance-weighted votes,
 corrected for the sample's balance and calibrated on the examples themselves (each left out
 of its own vote), give the score; the nearest examples are the evidence.
 
@@ -75,6 +77,9 @@ class TermCounter:
                 out[t] = out.get(t, 0) + n
         return out
 
+    def present(self, text: str | None) -> set:
+        return set().union(*map(self.ids, set(_WORD.findall((text or "").lower()))))
+
 
 @dataclass
 class Sparse:
@@ -104,9 +109,55 @@ class Sparse:
         return np.repeat(np.arange(len(self)), np.diff(self.start))
 
 
+@dataclass
+class Postings:
+    """Per term, the blocks that hold it with their greatest weights; per term and block, examples and weights."""
+
+    blocks: np.ndarray  # of the entries, which stand by term, then block
+    most: np.ndarray  # weight of each entry
+    first: np.ndarray  # entry of each term, and the end
+    start: np.ndarray  # posting of each entry, and the end
+    example: np.ndarray  # place within the block
+    weight: np.ndarray
+    entry: np.ndarray  # block, term: the entry, or one past all
+
+    @classmethod
+    def of(cls, vectors: Sparse, terms: int) -> Postings:
+        row = vectors.row_of()
+        order = np.lexsort((row, row // BLOCK, vectors.at))
+        row, at, weight = row[order], vectors.at[order], vectors.weight[order]
+        block = row // BLOCK
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 0) | (np.diff(block) != 0)])) if len(at) else np.zeros(0, np.int64)
+        most = np.maximum.reduceat(weight, new) if len(new) else np.zeros(0)
+        entry = np.full((-(-len(vectors) // BLOCK), terms), len(new))
+        entry[block[new], at[new]] = np.arange(len(new))
+        return cls(block[new], most, np.searchsorted(at[new], np.arange(terms + 1)), np.append(new, len(at)), row % BLOCK, weight, entry)
+
+    @staticmethod
+    def spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the ranges, and which place, all ranges one after the other."""
+        size = end - start
+        of = np.repeat(np.arange(len(size)), size)
+        return of, np.arange(len(of)) - np.repeat(np.cumsum(size) - size - start, size)
+
+    def bounds(self, queries: Sparse) -> np.ndarray:
+        """The cosine that each query could reach with an example of each block, at most."""
+        n, of = len(self.entry), queries.row_of()
+        which, entry = self.spread(self.first[queries.at], self.first[queries.at + 1])
+        return np.bincount(of[which] * n + self.blocks[entry], queries.weight[which] * self.most[entry], minlength=len(queries) * n).reshape(-1, n)
+
+    def scores(self, queries: Sparse, block: int) -> np.ndarray:
+        """Cosines of queries and a block's examples, by the queries' own terms."""
+        entry, of = self.entry[block, queries.at], queries.row_of()
+        held = entry < len(self.most)
+        entry, of, weight = entry[held], of[held], queries.weight[held]
+        which, at = self.spread(self.start[entry], self.start[entry + 1])
+        return np.bincount(of[which] * BLOCK + self.example[at], weight[which] * self.weight[at], minlength=len(queries) * BLOCK).reshape(-1, BLOCK)
+
+
 @dataclass
 class Index:
-    """Examples as unit TF-IDF vectors; blocks hold the terms that their examples have, and the greatest weight of each."""
+    """Examples as unit TF-IDF vectors, their votes, and the inverted index over them."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray
@@ -117,27 +168,18 @@ class Index:
     prior: float
     slope: float = 1.0
     shift: float = 0.0
-    blocks: list | None = None
+    postings: Postings | None = None
 
     def __post_init__(self):
         self.vectors = Sparse.of(self.vectors)
 
     def __getstate__(self):
-        return self.__dict__ | {"blocks": None}
-
-    def read_blocks(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per block: each term's place among the block's, or one past them, the weights (place, example), and the greatest per place."""
-        if self.blocks is None:
-            self.blocks = []
-            for a in range(0, len(self.ids), BLOCK):
-                part = self.vectors.take(np.arange(a, min(a + BLOCK, len(self.ids))))
-                terms, at = np.unique(part.at, return_inverse=True)
-                place = np.full(len(self.idf), len(terms), dtype=np.int32)
-                place[terms] = np.arange(len(terms))
-                weights = np.zeros((len(terms) + 1, len(part)))
-                weights[at, part.row_of()] = part.weight
-                self.blocks.append((place, weights, weights.max(axis=1)))
-        return self.blocks
+        return self.__dict__ | {"postings": None}
+
+    def inverted(self) -> Postings:
+        if self.postings is None:
+            self.postings = Postings.of(self.vectors, len(self.idf))
+        return self.postings
 
     def vector(self, counts: list[dict[int, int]]) -> Sparse:
         size = [len(c) for c in counts]
@@ -152,26 +194,22 @@ class Index:
 
     def nearest(self, queries: Sparse | np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine (rounded to 12 digits; ties to the first), and the cosines; 0 where there is none."""
-        queries, blocks = Sparse.of(queries), self.read_blocks()
+        queries, index = Sparse.of(queries), self.inverted()
         n = len(queries)
         best, who = np.zeros((n, k)), np.full((n, k), len(self.ids))
-        if not blocks or not n:
+        if not len(index.entry) or not n:
             return who, best
-        row = queries.row_of()
-        bounds = np.stack([np.bincount(row, queries.weight * most[place[queries.at]], minlength=n) for place, _, most in blocks], axis=1) + 1e-9
+        bounds = index.bounds(queries) + 1e-9
 
         def read(b: int, rows: np.ndarray) -> None:
-            place, weights, _ = blocks[b]
-            some, at = queries.take(rows), b * BLOCK
-            dense = np.zeros((len(rows), len(weights)))
-            dense[some.row_of(), place[some.at]] = some.weight
-            scores = np.round(dense @ weights, 12)
+            at = b * BLOCK
+            scores = np.round(index.scores(queries.take(rows), b), 12)
             if without is not None:
-                scores[np.arange(at, at + scores.shape[1]) == without[rows, None]] = 0
+                scores[np.arange(at, at + BLOCK) == without[rows, None]] = 0
             new = scores.max(axis=1) >= best[rows, -1]
             rows, scores = rows[new], scores[new]
             s = np.concatenate([best[rows], scores], axis=1)
-            w = np.concatenate([who[rows], np.broadcast_to(np.arange(at, at + scores.shape[1]), scores.shape)], axis=1)
+            w = np.concatenate([who[rows], np.broadcast_to(np.arange(at, at + BLOCK), scores.shape)], axis=1)
             w = np.where(s > 0, w, len(self.ids))
             top = np.lexsort((w, -s), axis=1)[:, :k]
             best[rows], who[rows] = np.take_along_axis(s, top, 1), np.take_along_axis(w, top, 1)
@@ -247,10 +285,13 @@ def corpus_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarr
     def run(batches):
         count, sums, n = TermCounter(shared.value), np.zeros(len(shared.value) + 1, dtype=np.int64), 0
         for batch in batches:
-            for text in batch.column(0):
-                n += 1
-                for t in count(text.as_py()):
-                    sums[t] += 1
+            for a in range(0, batch.num_rows, 256):
+                held: list[int] = []
+                for text in batch.column(0).slice(a, 256):
+                    n += 1
+                    held += count.present(text.as_py())
+                if held:
+                    sums[:-1] += np.bincount(held, minlength=len(shared.value))
         sums[-1] = n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)], ["term", "n"])
 

@@ -20,7 +20,7 @@ from . import __version__, errors
 from .errors import QueryError
 from .functions import filters
 from .functions.collation import Collation
-from .functions.paths import Scope, check_path, resolve
+from .functions.paths import NULLS, Scope, check_path, null_paths
 from .operators import constraints, pipeline, reads, shaping, updates
 from .operators.frame import ORD, Frame
 from .sources.catalog import Catalog, documents_of, frame_of, infer, merged, widened
@@ -324,7 +324,7 @@ class Client:
         if doc.get("explain"):
             return self._explained(db, name, doc, query)
         live, shape, by = self._live(db, name), doc.get("projection"), doc.get("collation")
-        out = reads.find(live, query, shape, doc.get("sort"), doc.get("skip", 0), doc.get("limit", 0), by, ordered=True)
+        out = reads.find(live, query, shape, doc.get("sort"), doc.get("skip", 0), doc.get("limit", 0), by, ordered=True, nulls=True)
         if ORD in live.columns and not (doc.get("sort") or doc.get("skip") or doc.get("limit")):
             out = reads.pages(live, query, shape, by)
         return self._opened(f"{db}.{name}", out, doc.get("batchSize"), bool(doc.get("singleBatch")), self.catalog.pin(db, [name]))
@@ -345,7 +345,7 @@ class Client:
         for stage, spec in stages:
             if stage == "$lookup" and "." in spec["from"]:
                 raise option_error("$lookup supports collections of the same database only")
-        out = pipeline.aggregate(self._live(db, name), doc["pipeline"], lambda c: self._live(db, c), doc.get("collation"), ordered=True)
+        out = pipeline.aggregate(self._live(db, name), doc["pipeline"], lambda c: self._live(db, c), doc.get("collation"), ordered=True, nulls=True)
         return self._opened(f"{db}.{name}", out, batch, False, self.catalog.pin(db, [name, *[spec["from"] for stage, spec in stages if stage == "$lookup"]]))
 
     def _count(self, db, name, doc):
@@ -411,7 +411,7 @@ class Client:
         def fits(some: list[dict]) -> DataFrame:
             """The collection with some documents more; raises where one doesn't fit."""
             kind = df.schema if self.catalog.manifest(db, name)["version"] else T.StructType()
-            new = frame_of(self.catalog.spark, [{**d, ORD: place + i} for i, d in enumerate(some)], kind)
+            new = frame_of(self.catalog.spark, [{**d, ORD: place + i, **({NULLS: at} if (at := null_paths(d)) else {})} for i, d in enumerate(some)], kind)
             new = new.withColumn(ORD, F.col(ORD).cast("long"))
             self._check_valid(db, name, new, doc)
             out = widened(df, new.schema).unionByName(new) if kind.fields else new
@@ -525,7 +525,7 @@ class Client:
             updates.parse(doc["update"], doc.get("arrayFilters"))
         self._hint(db, name, doc.get("hint"))
         df = self._live(db, name)
-        image = lambda d: (documents_of(reads.find(d, {}, shape)) or [None])[0]
+        image = lambda d: (documents_of(reads.find(d, {}, shape, nulls=True)) or [None])[0]
         if remove:
             numbered = df if ORD in df.columns else df.withColumn(ORD, F.monotonically_increasing_id())
             frame = Frame(numbered.where(filters.matches(query, Scope.of(df), by))).numbered()

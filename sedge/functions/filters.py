@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..errors import BAD_VALUE, INVALID_OPTIONS, QueryError
 from .collation import Collation
-from .paths import Scope, Value, check_path, resolve
+from .paths import NULLS, explicit_null, Scope, Value, check_path, resolve
 
 #: Type aliases and their numeric codes.
 TYPES = {"double": 1, "string": 2, "object": 3, "array": 4, "objectId": 7, "bool": 8, "date": 9, "null": 10, "int": 16, "long": 18}
@@ -295,6 +295,8 @@ def _test(value: Value | None, op: str, x, spec: dict, by: Collation, scope: Sco
         return reduce(lambda a, b: a | b, [_equal(value, v, by) for v in x], F.lit(False))
     if op == "$exists":
         present = F.lit(False) if value is None else value.col.isNotNull() & (sure(F.exists(value.col, lambda e: e.isNotNull())) if value.many else F.lit(True))
+        if scope.has(NULLS):
+            present = present | explicit_null(scope, path)
         return present if x else ~present
     if op in BOUNDS:
         if by.folds and isinstance(x, str):

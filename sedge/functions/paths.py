@@ -44,6 +44,23 @@ class Value:
 
 
 MISSING = None
+#: Paths at which a stored document holds an explicit null; a null cell alone is a missing field.
+NULLS = "__null"
+
+
+def explicit_null(scope: Scope, path: str) -> Column:
+    """Whether a stored document holds null at a path."""
+    return F.coalesce(F.array_contains(scope.get(NULLS), path), F.lit(False)) if scope.has(NULLS) else F.lit(False)
+
+
+def null_paths(document: dict, prefix: str = "") -> list[str]:
+    out: list[str] = []
+    for k, v in document.items():
+        if v is None:
+            out.append(prefix + k)
+        elif isinstance(v, dict):
+            out += null_paths(v, f"{prefix}{k}.")
+    return out
 
 
 def check_path(path: str) -> list[str]:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..errors import FAILED_TO_PARSE, INVALID_OPTIONS, QueryError
 from ..functions import filters
 from ..functions.collation import Collation
-from ..functions.paths import Scope, check_path, resolve
+from ..functions.paths import Scope, check_path, explicit_null, resolve
 
 BSON_TYPES = {"object", "array", "string", "int", "long", "double", "number", "bool", "objectId", "date", "null"}
 
@@ -40,7 +40,7 @@ def members(df: DataFrame, keys: list[str], sparse: bool = False, partial: dict
     if sparse:
         for k in keys:
             v = resolve(Scope.of(df), k)
-            df = df.where(v.col.isNotNull() if v is not None else F.lit(False))
+            df = df.where((v.col.isNotNull() if v is not None else F.lit(False)) | explicit_null(Scope.of(df), k))
     return df
 
 
@@ -101,20 +101,22 @@ def _check_schema(s, root: bool = False) -> None:
 
 def valid(spec: dict, df: DataFrame) -> Column:
     """Whether a document satisfies a validator."""
-    return _valid(check_validator(spec), Scope.of(df))
+    return _valid(check_validator(spec), Scope.of(df), Scope.of(df))
 
 
-def _valid(s: dict, scope: Scope) -> Column:
-    tests = [scope.get(n).isNotNull() if scope.has(n) else F.lit(False) for n in s.get("required", [])]
+def _valid(s: dict, scope: Scope, whole: Scope, prefix: str = "") -> Column:
+    tests = [(scope.get(n).isNotNull() if scope.has(n) else F.lit(False)) | explicit_null(whole, prefix + n) for n in s.get("required", [])]
     for name, x in s.get("properties", {}).items():
+        kinds = x.get("bsonType")
+        if kinds is not None and "null" not in (kinds if isinstance(kinds, list) else [kinds]):
+            tests.append(~explicit_null(whole, prefix + name))
         if not scope.has(name):
             continue
         c, field = scope.get(name), scope.schema[name]
         own = filters.type_name(field.dataType, field.metadata)
-        kinds = x.get("bsonType")
         fits = kinds is None or any(k == own or (k == "number" and own in ("int", "long", "double")) for k in (kinds if isinstance(kinds, list) else [kinds]))
         test = F.lit(fits)
         if fits and isinstance(field.dataType, T.StructType):
-            test = _valid(x, Scope.inside(c, field.dataType))
+            test = _valid(x, Scope.inside(c, field.dataType), whole, f"{prefix}{name}.")
         tests.append(c.isNull() | test)
     return reduce(lambda a, b: a & b, tests, F.lit(True))

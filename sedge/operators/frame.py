@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.paths import NULLS
+
 HIDDEN = "__o"
 #: The place of a stored document in its collection, written with it: rising in the order of insertion.
 ORD = "__ord"
@@ -72,8 +74,9 @@ class Frame:
                 parts += [F.col(c).isNull(), F.concat(F.translate(F.hex(F.col(c).cast("string")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))]
         return f, F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
 
-    def result(self, ordered: bool = False) -> DataFrame:
+    def result(self, ordered: bool = False, nulls: bool = False) -> DataFrame:
+        """The documents; ``nulls`` keeps the column that tells explicit nulls from missing fields."""
         df = self.df
         if ordered and self.order:
             df = df.orderBy(*self.keys())
-        return df.select(*[F.col(f"`{c}`") for c in self.shown()])
+        return df.select(*[F.col(f"`{c}`") for c in self.shown()], *[c for c in self.hidden() if nulls and c == NULLS])

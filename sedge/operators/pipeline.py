@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..errors import BAD_VALUE, FAILED_TO_PARSE, INVALID_OPTIONS, QueryError
 from ..functions import expressions, filters
 from ..functions.collation import Collation
-from ..functions.paths import Scope, check_path, resolve, with_path
+from ..functions.paths import NULLS, Scope, check_path, resolve, with_path
 from . import shaping
 from .frame import ORD, Frame
 
@@ -126,7 +126,7 @@ def _unwind_spec(spec) -> tuple[str, bool, str | None]:
     return path[1:], keep, index
 
 
-def aggregate(source: DataFrame | Frame, pipeline: list, lookup: Callable[[str], DataFrame] | None = None, collation=None, ordered: bool = False) -> DataFrame:
+def aggregate(source: DataFrame | Frame, pipeline: list, lookup: Callable[[str], DataFrame] | None = None, collation=None, ordered: bool = False, nulls: bool = False) -> DataFrame:
     """Run a pipeline. ``lookup`` gives foreign collections by name; ``ordered`` sorts the result by the stream's order."""
     stages, by = parse(pipeline), Collation.parse(collation)
     frame = source if isinstance(source, Frame) else Frame(source)
@@ -144,7 +144,7 @@ def aggregate(source: DataFrame | Frame, pipeline: list, lookup: Callable[[str],
         frame = _run(frame, name, spec, lookup, by, ordered or _order_shows(stages[i + 1 :]))
     if ordered and frame.order is None and ORD in frame.df.columns:
         frame = frame.numbered()
-    return frame.result(ordered)
+    return frame.result(ordered, nulls)
 
 
 def _unwinds(stage: tuple[str, object], path: str) -> bool | None:
@@ -197,8 +197,9 @@ def replace_root(frame: Frame, e, by: Collation) -> Frame:
     if not isinstance(kind, T.StructType):
         raise QueryError(BAD_VALUE, "replacement root must be a document")
     fine = F.when(c.isNotNull(), c).otherwise(F.raise_error(F.lit("replacement root must be a document")))
-    df = frame.df.select(fine.alias("__root"), *frame.hidden())
-    return Frame(df.select(*[F.col("__root").getField(f.name).alias(f.name) for f in kind.fields], *frame.hidden()), frame.order)
+    hidden = [c for c in frame.hidden() if c != NULLS]
+    df = frame.df.select(fine.alias("__root"), *hidden)
+    return Frame(df.select(*[F.col("__root").getField(f.name).alias(f.name) for f in kind.fields], *hidden), frame.order)
 
 
 def unwind(frame: Frame, path: str, keep: bool, index: str | None) -> Frame:

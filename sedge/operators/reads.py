@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import filters
 from ..functions.collation import Collation
-from ..functions.paths import Scope, check_path, resolve
+from ..functions.paths import NULLS, Scope, check_path, resolve
 from . import shaping
 from .frame import ORD, Frame
 
@@ -18,7 +18,7 @@ from .frame import ORD, Frame
 FIRST_PAGE, MOST_PAGE = 128, 16_384
 
 
-def find(df: DataFrame, query: dict | None = None, projection: dict | None = None, sort: dict | None = None, skip: int = 0, limit: int = 0, collation=None, ordered: bool = False) -> DataFrame:
+def find(df: DataFrame, query: dict | None = None, projection: dict | None = None, sort: dict | None = None, skip: int = 0, limit: int = 0, collation=None, ordered: bool = False, nulls: bool = False) -> DataFrame:
     """Filter, sort, skip, limit, project; a limit of 0 is none."""
     by = Collation.parse(collation)
     skip, limit = shaping.check_count("skip", skip), shaping.check_count("limit", limit)
@@ -31,14 +31,14 @@ def find(df: DataFrame, query: dict | None = None, projection: dict | None = Non
         frame = shaping.window(frame, skip, limit or None)
     if ordered:
         frame = frame.numbered()
-    return (shaping.project(frame, projection) if projection else frame).result(ordered)
+    return (shaping.project(frame, projection) if projection else frame).result(ordered, nulls)
 
 
 def pages(df: DataFrame, query: dict, projection: dict | None, collation=None) -> Iterator[Row]:
     """Rows of a stored collection in its order, page by page: each page is a top-k beyond the last place read, and nothing is sorted as a whole."""
     frame = Frame(df).numbered().where(filters.matches(query, Scope.of(df), Collation.parse(collation), two_valued=False))
     frame = shaping.project(frame, projection) if projection else frame
-    shown, rows, last = frame.shown(), FIRST_PAGE, -1
+    shown, rows, last = [*frame.shown(), *[c for c in frame.hidden() if c == NULLS]], FIRST_PAGE, -1
     while True:
         got = frame.df.where(F.col(ORD) > last).orderBy(ORD).limit(rows).select(*[F.col(f"`{c}`") for c in shown], ORD).collect()
         for r in got:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..errors import BAD_VALUE, QueryError
 from ..functions import expressions, filters
 from ..functions.collation import Collation
-from ..functions.paths import Scope, Value, resolve, with_path
+from ..functions.paths import NULLS, Scope, Value, null_paths, resolve, with_path
 from ..sources.catalog import cast_to, merged
 from . import pipeline as stages
 from . import shaping
@@ -246,7 +246,19 @@ def _modified(df: DataFrame, query: dict, update: dict, array_filters: list, hit
                 if new is None and value is None:
                     continue
                 df = put(df, *with_path(scope, path, lambda _, n=new: n))
-    return df
+    return _with_nulls(df, update, hit)
+
+
+def _with_nulls(df: DataFrame, update: dict, hit: Column) -> DataFrame:
+    """Paths that are set to null are explicit nulls; other paths that an update writes are none any more."""
+    written = [(op, p, v) for op, spec in update.items() if op != "$setOnInsert" for p, v in spec.items() if "$" not in p]
+    made = [p for op, p, v in written if op == "$set" and v is None]
+    over = [p for op, p, v in written if p not in made] + [v for op, _, v in written if op == "$rename"]
+    if not made and NULLS not in df.columns:
+        return df
+    texts = lambda some: F.array(*map(F.lit, some)).cast("array<string>")
+    have = F.col(NULLS) if NULLS in df.columns else F.lit(None).cast("array<string>")
+    return df.withColumn(NULLS, F.when(hit, F.array_union(F.array_except(F.coalesce(have, texts([])), texts(over)), texts(made))).otherwise(have))
 
 
 def flagged(df: DataFrame, query: dict, update, multi: bool = True, array_filters: list | None = None, collation=None, sort: dict | None = None) -> DataFrame:
@@ -266,7 +278,7 @@ def flagged(df: DataFrame, query: dict, update, multi: bool = True, array_filter
         df = df.join(F.broadcast(one), ORD, "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
         df = df if stored else df.drop(ORD)
     hit = F.col("__hit")
-    df = df.withColumn("__old", F.struct(*[F.col(f"`{c}`") for c in columns]))
+    df = df.withColumn("__old", F.struct(*[F.col(f"`{c}`") for c in columns], *[c for c in df.columns if c == NULLS]))
     if kind == "modifiers":
         out = _modified(df, query, update, array_filters or [], hit, Collation.parse(collation))
     elif kind == "replacement":
@@ -280,6 +292,8 @@ def flagged(df: DataFrame, query: dict, update, multi: bool = True, array_filter
         for c, v in update.items():
             if c not in columns:
                 out = out.withColumn(c, F.when(hit, expressions.literal(v)[0]))
+        if (nulls := null_paths(update)) or NULLS in out.columns:
+            out = out.withColumn(NULLS, F.when(hit, F.array(*map(F.lit, nulls)).cast("array<string>")).otherwise(F.col(NULLS) if NULLS in out.columns else F.lit(None)))
     else:
         frame = Frame(df)
         for name, spec in stages.parse(update):
@@ -290,12 +304,17 @@ def flagged(df: DataFrame, query: dict, update, multi: bool = True, array_filter
         for c in names:
             old = F.col("__old").getField(c) if c in columns else F.lit(None)
             picked.append((old if c == "_id" else F.when(hit, F.col(f"`{c}`")).otherwise(old) if c in new.columns else F.when(~hit, old)).alias(c))
-        out = new.select(*picked, "__hit", "__old", *[c for c in new.columns if c == ORD])
+        out = new.select(*picked, "__hit", "__old", *[c for c in new.columns if c in (ORD, NULLS)])
     names = [c for c in out.columns if not c.startswith("__")]
     before = df.schema["__old"].dataType
     old = F.struct(*[cast_to(F.col("__old").getField(c), before[c].dataType, out.schema[c].dataType).alias(c) if c in columns else F.lit(None).cast(out.schema[c].dataType).alias(c) for c in names])
     # Nulls within documents of another shape aren't changes.
-    return out.withColumn("__changed", hit & ~old.eqNullSafe(F.struct(*[F.col(f"`{c}`") for c in names])))
+    changed = ~old.eqNullSafe(F.struct(*[F.col(f"`{c}`") for c in names]))
+    if NULLS in out.columns:
+        none = F.array().cast("array<string>")
+        was = F.coalesce(F.col("__old").getField(NULLS), none) if NULLS in before.fieldNames() else none
+        changed = changed | ~F.array_sort(was).eqNullSafe(F.array_sort(F.coalesce(NULLS, none)))
+    return out.withColumn("__changed", hit & changed)
 
 
 def base_document(query: dict) -> dict:

@@ -145,3 +145,35 @@ def test_array_updates_follow_the_collation(client):
     ]})
     got = client.run("app", {"find": "a"})["cursor"]["firstBatch"][0]
     assert got["tags"] == ["y"] and [x["n"] for x in got["items"]] == [7, 9]
+
+
+def test_null_is_not_missing(client):
+    client.run("app", {"insert": "n", "documents": [{"_id": 1, "x": None}, {"_id": 2}, {"_id": 3, "x": 5, "d": {"y": None, "z": 1}}]})
+    assert client.run("app", {"find": "n"})["cursor"]["firstBatch"] == [{"_id": 1, "x": None}, {"_id": 2}, {"_id": 3, "x": 5, "d": {"y": None, "z": 1}}]
+    assert [d["_id"] for d in client.run("app", {"find": "n", "filter": {"x": {"$exists": True}}, "sort": {"_id": 1}})["cursor"]["firstBatch"]] == [1, 3]
+    assert client.run("app", {"count": "n", "query": {"x": None}})["n"] == 2
+    assert client.run("app", {"count": "n", "query": {"d.y": {"$exists": True}}})["n"] == 1
+    reply = client.run("app", {"update": "n", "updates": [{"q": {"_id": 2}, "u": {"$set": {"x": None}}}, {"q": {"_id": 1}, "u": {"$set": {"x": 1}}}, {"q": {"_id": 3}, "u": {"$unset": {"x": ""}}}]})
+    assert reply["nModified"] == 3
+    assert client.run("app", {"find": "n", "projection": {"x": 1}})["cursor"]["firstBatch"] == [{"_id": 1, "x": 1}, {"_id": 2, "x": None}, {"_id": 3}]
+    again = client.run("app", {"update": "n", "updates": [{"q": {"_id": 2}, "u": {"$set": {"x": None}}}]})
+    assert (again["n"], again["nModified"]) == (1, 0)
+    got = client.run("app", {"aggregate": "n", "pipeline": [{"$match": {"x": {"$exists": True}}}, {"$sort": {"_id": -1}}], "cursor": {}})
+    assert got["cursor"]["firstBatch"] == [{"_id": 2, "x": None}, {"_id": 1, "x": 1}]
+
+
+def test_a_sparse_unique_index_holds_explicit_nulls(client):
+    index = {"createIndexes": "s", "indexes": [{"key": {"k": 1}, "unique": True, "sparse": True}]}
+    client.run("app", {"insert": "s", "documents": [{"_id": 1, "k": "a"}, {"_id": 2}, {"_id": 3}, {"_id": 4, "k": None}]})
+    client.run("app", index)
+    assert client.run("app", {"insert": "s", "documents": [{"_id": 5, "k": None}]})["writeErrors"][0]["code"] == 11000
+    assert client.run("app", {"insert": "s", "documents": [{"_id": 6}]})["n"] == 1
+    client.run("app", {"insert": "t", "documents": [{"_id": 1, "k": None}, {"_id": 2, "k": None}, {"_id": 3, "k": "b"}]})
+    assert code(client, {**index, "createIndexes": "t"}) == 11000
+
+
+def test_required_fields_may_hold_null(client):
+    client.run("app", {"create": "v", "validator": {"$jsonSchema": {"bsonType": "object", "required": ["a"], "properties": {"b": {"bsonType": "string"}, "c": {"bsonType": ["string", "null"]}}}}})
+    assert client.run("app", {"insert": "v", "documents": [{"_id": 1, "a": None, "c": None, "b": "x"}, {"_id": 2, "a": "x"}]})["n"] == 2
+    assert client.run("app", {"insert": "v", "documents": [{"_id": 3, "b": "x"}]})["writeErrors"][0]["code"] == 121
+    assert client.run("app", {"insert": "v", "documents": [{"_id": 4, "a": "y", "b": None}]})["writeErrors"][0]["code"] == 121

@@ -319,7 +319,7 @@ def look_up(frame: Frame, spec: dict, lookup, by: Collation, unwound: bool | Non
         order = left.order if left.order is not None else ((ORD, True),) if ORD in left.df.columns else None
         df = df.select(*left.df.columns, F.col("__d.s").alias(place), F.col("__d.d").alias("__as"))
         return _placed(Frame(df if order is not None else df.drop(place), order and (*order, (place, True))), spec["as"])
-    asked = (left.df.select(F.explode_outer(_array_keys(left_key)).alias("__lk")) if left_many else left.df.select(left_key.alias("__lk"))).select(cast(F.col("__lk"), left_type).alias("__lk")).distinct()
+    asked = (left.df.select(F.explode_outer(_array_keys(left_key)).alias("__lk")) if left_many else left.df.select(left_key.alias("__lk"))).select(cast(F.col("__lk"), left_type).alias("__lk"))
     right = right.join(asked, F.col("__k").eqNullSafe(F.col("__lk")), "left_semi").groupBy("__k").agg(F.collect_list("__d").alias("__all"))
     nested = lambda all_: F.coalesce(F.transform(F.array_sort(all_), lambda x: x["d"]), F.array().cast(T.ArrayType(_document_type(f)))).alias("__as")
     if not left_many:

@@ -115,7 +115,7 @@ def test_multi_index_equals_brute_force(spark):
     df, x = embeddings(spark, np.random.default_rng(1))
     y = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = y @ y.T >= 0.9
-    got = {r.vec_id: r for r in multi_index.near_duplicates(df.drop("row")).collect()}
+    got = {r.vec_id: r for r in multi_index.near_duplicates(df).collect()}
     assert len(got) == len(x) + 6
     want = near.sum(axis=1) - 1
     n = np.array([got[i].n_links for i in range(len(x))])
@@ -126,16 +126,36 @@ def test_multi_index_equals_brute_force(spark):
 
 def test_multi_sequence_rises_and_is_whole():
     rng = np.random.default_rng(0)
-    a, b = rng.random(7), rng.random(9)
-    got = multi_index.multi_sequence(a, b, 0.9)
-    sums = [a[i] + b[j] for i, j in got]
-    assert sums == sorted(sums) and set(got) == {(i, j) for i in range(7) for j in range(9) if a[i] + b[j] <= 0.9}
+    a, b, limit = rng.random((40, 7)), rng.random((40, 9)), rng.random(40) * 2
+    got = [[] for _ in a]
+    for who, i, j in multi_index.multi_sequence(a, b, limit):
+        for v, p, q in zip(who, i, j):
+            got[v].append((int(p), int(q)))
+    for v, cells in enumerate(got):
+        sums = [a[v, i] + b[v, j] for i, j in cells]
+        assert sums == sorted(sums) and len(set(cells)) == len(cells)
+        assert set(cells) == {(i, j) for i in range(7) for j in range(9) if a[v, i] + b[v, j] <= limit[v]}
+
+
+def test_zones_of_both_halves_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "ZONE_ROWS", 50)
+    monkeypatch.setattr(multi_index, "TASK_ROWS", 100)
+    monkeypatch.setattr(multi_index, "MOST_ZONES", 3)
+    test_multi_index_equals_brute_force(spark)
+
+
+def test_equal_vectors_count_as_rows(spark):
+    """A third of all rows is one vector, under a null id too; its links count each copy."""
+    near, far = [1.0, 0.0, 0.0, 0.3], [0.0, 1.0, 0.0, 0.0]
+    rows = [(i, [1.0, 0.0, 0.0, 0.0]) for i in range(10, 40)] + [(None, [1.0, 0.0, 0.0, 0.0]), (5, near), (6, near), (7, far), (7, far), (8, [0.0, 0.0, 1.0, 0.0]), (9, None)]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 32, 5, True), (5, 32, 5, True), (6, 32, 5, False), (7, 1, 7, True), (7, 1, 7, True), (8, 0, 8, True), (9, 0, 9, True)] + [(i, 32, 5, False) for i in range(10, 40)]
 
 
 def test_postings_recall_and_exact_scores(spark):
     df, x = embeddings(spark, np.random.default_rng(2), n=1500)
     y = x / np.linalg.norm(x, axis=1, keepdims=True)
-    rows = postings.search(df.drop("row"), F.col("vec_id") % 10 == 0).collect()
+    rows = postings.search(df, F.col("vec_id") % 10 == 0).collect()
     by = {}
     for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
         by.setdefault(r.query_id, []).append(r)

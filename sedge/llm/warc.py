@@ -12,15 +12,17 @@ empty table gives no captures; columns other than page_id, url and html are igno
 
 from __future__ import annotations
 
+import gzip
 import hashlib
-import zlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import keep, scratch, table
 
 #: Payloads below this many bytes are never deduplicated.
 MIN_REVISIT_BYTES = 1000
@@ -91,28 +93,27 @@ def write_archives(pages: DataFrame, path: str) -> None:
     records(pages).write.option("compression", "gzip").option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", CAPTURES_PER_FILE).text(path)
 
 
-def unzipped(content: bytes) -> bytes:
-    """An archive's records, whether it is plain, one gzip member or one member per record."""
-    out = []
-    while content[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(wbits=31)
-        out.append(z.decompress(content))
-        content = z.unused_data
-    return b"".join(out) + content
-
-
-def parse(content: bytes) -> Iterator[dict]:
-    """Records of one archive, by their declared lengths, whatever the payloads hold."""
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        first, *lines = content[at:end].decode("utf-8", "replace").split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+def opened(content: bytes) -> BinaryIO:
+    """An archive's records as a stream, whether it is plain, one gzip member or one member per record."""
+    raw = io.BytesIO(content)
+    return io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) if content[:2] == b"\x1f\x8b" else raw
+
+
+def parse(archive: BinaryIO) -> Iterator[dict]:
+    """Records of one archive, by their declared lengths, whatever the payloads hold; one record is held at a time."""
+    count = 0
+    while first := archive.readline():
+        count += 1
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"record {count} has no version line")
+        head = {}
+        while (line := archive.readline()) not in (b"\r\n", b""):
+            k, _, v = line.decode("utf-8", "replace").partition(":")
+            head[k.lower()] = v.strip()
         length = int(head["content-length"])
-        block = content[end + 4 : end + 4 + length]
-        at = end + 4 + length + 4
+        block = archive.read(length)
+        if len(block) < length or archive.read(4) not in (b"\r\n\r\n", b""):
+            raise ValueError(f"record {count} doesn't end where its length says")
         kind, body, fields = head["warc-type"], None, {}
         size, digest = None, None
         if kind in ("response", "revisit"):
@@ -139,7 +140,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                for r in parse(unzipped(content.as_py())):
+                for r in parse(opened(content.as_py())):
                     held += len(r["payload"] or b"") + 500
                     if not with_payload:
                         r["payload"] = None
@@ -179,6 +180,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("response.record_type").alias("record_type"),
         F.col("response.refers_to").alias("target"),
     )
+    found = keep(found, "captures")
     plain = found.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long"))
     again = found.where("record_type = 'revisit'").join(found.where("record_type = 'response'").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to")), "target", "left")
     out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]

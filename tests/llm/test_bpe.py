@@ -68,6 +68,6 @@ def test_query_equals_the_library(spark):
 
 def test_defined_cases(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "", 5), (2, "", 5)], "doc_id long, text string, n_tokens int")
-    out = bpe.encoded(df.drop("n_tokens"), ["doc_id"]).collect()
+    out = bpe.encoded(df, ["doc_id"]).collect()
     assert [r.n_tokens for r in out] == [0, 0, 0] and len({r.ids_sha256 for r in out}) == 1
-    assert bpe.encoded(df.drop("n_tokens").where("false"), ["doc_id"]).count() == 0
+    assert bpe.encoded(df.where("false"), ["doc_id"]).count() == 0

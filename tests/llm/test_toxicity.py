@@ -35,11 +35,11 @@ def test_held_out_separation(spark):
 def test_defined_cases(spark):
     docs = spark.createDataFrame([(1, "bad awful", 0.0), (2, None, 0.0), (3, "", 0.0), (3, "", 0.0)], "doc_id long, text string, score double")
     none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert [r.score for r in toxicity.score(docs.drop("score"), none, ["doc_id"]).collect()] == [0.0] * 4
+    assert [r.score for r in toxicity.score(docs, none, ["doc_id"]).collect()] == [0.0] * 4
     rows = [(i, f"nice day number {chr(97 + i)}" if i % 2 else f"awful bad {chr(97 + i)}") for i in range(20)]
     some = spark.createDataFrame(rows, "doc_id long, text string")
     index = toxicity.fit(some, spark.createDataFrame([(i, 1 - i % 2) for i in range(20)] + [(0, 1)], "doc_id long, toxic int"))
-    got = {r.doc_id: r for r in toxicity.score(docs.drop("score"), index, ["doc_id"]).collect()}
+    got = {r.doc_id: r for r in toxicity.score(docs, index, ["doc_id"]).collect()}
     assert got[1].predicted == 1 and got[1].evidence[0].toxic == 1
     assert got[2].score == got[3].score
 

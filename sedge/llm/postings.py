@@ -74,7 +74,6 @@ class Lists:
         d = self.search(x, BOUNDARY, least=2 * DEGREE)
         order = np.argsort(d, axis=1)[:, : 4 * REPLICAS]
         own, lists = [np.arange(len(x))], [order[:, 0]]
-        between = np.sqrt(vectors.squared(self.centroids, self.centroids))
         chosen = np.full((len(x), REPLICAS), -1)
         chosen[:, 0], n = order[:, 0], np.ones(len(x), dtype=np.int64)
         for r in range(1, order.shape[1]):
@@ -82,7 +81,8 @@ class Lists:
             dist = d[np.arange(len(x)), c]
             shadow = np.zeros(len(x), bool)
             for s in range(REPLICAS):
-                shadow |= (chosen[:, s] >= 0) & (between[c, chosen[:, s]] < dist)
+                apart = np.sqrt(((self.centroids[c] - self.centroids[chosen[:, s]]) ** 2).sum(axis=1))
+                shadow |= (chosen[:, s] >= 0) & (apart < dist)
             ok = np.flatnonzero((dist <= (1 + BOUNDARY) * d[np.arange(len(x)), order[:, 0]]) & ~shadow & (n < REPLICAS))
             chosen[ok, n[ok]] = c[ok]
             n[ok] += 1

@@ -69,7 +69,11 @@ class Lists:
             found[live[:, None], near] = np.minimum(found[live[:, None], near], d)
         return found
 
-    def homes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def between(self) -> np.ndarray:
+        """Distances between centroids; a task makes them once."""
+        return np.sqrt(vectors.squared(self.centroids, self.centroids))
+
+    def homes(self, x: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(vector, list): the nearest list, and at a boundary others in no nearer chosen one's shadow."""
         d = self.search(x, BOUNDARY, least=2 * DEGREE)
         order = np.argsort(d, axis=1)[:, : 4 * REPLICAS]
@@ -81,8 +85,7 @@ class Lists:
             dist = d[np.arange(len(x)), c]
             shadow = np.zeros(len(x), bool)
             for s in range(REPLICAS):
-                apart = np.sqrt(((self.centroids[c] - self.centroids[chosen[:, s]]) ** 2).sum(axis=1))
-                shadow |= (chosen[:, s] >= 0) & (apart < dist)
+                shadow |= (chosen[:, s] >= 0) & (between[c, chosen[:, s]] < dist)
             ok = np.flatnonzero((dist <= (1 + BOUNDARY) * d[np.arange(len(x)), order[:, 0]]) & ~shadow & (n < REPLICAS))
             chosen[ok, n[ok]] = c[ok]
             n[ok] += 1
@@ -137,7 +140,7 @@ def fit(x: np.ndarray, rows: int) -> Lists:
     s = x[asked] @ x.T
     s[np.arange(len(asked)), asked] = -np.inf
     near = np.argsort(-s, axis=1)[:, : min(5, len(x) - 1)]
-    own, home = lists.homes(x)
+    own, home = lists.homes(x, lists.between())
     d = np.sqrt(vectors.squared(x[asked], c))
     d = d / np.maximum(d.min(axis=1, keepdims=True), 1e-12) - 1
     best = np.full((len(asked), len(x)), np.inf)
@@ -159,11 +162,12 @@ def search(table: DataFrame, asks: Column, k: int = 5) -> DataFrame:
     shared = spark.sparkContext.broadcast(fit(vectors.sample(rows), n))
 
     def place(batches, held: np.ndarray | None = None):
+        between = shared.value.between() if held is None else None
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 x = vectors.unit(vectors.matrix(part.column("v")))
-                own, lists = shared.value.homes(x) if held is None else shared.value.read(x, held, k + 1)
+                own, lists = shared.value.homes(x, between) if held is None else shared.value.read(x, held, k + 1)
                 got = part.take(pa.array(own))
                 # A row's first list, its nearest, is its home.
                 home = np.arange(len(own)) < len(x)

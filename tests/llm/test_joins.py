@@ -175,5 +175,5 @@ def test_lists_are_near_even():
     x = np.random.default_rng(0).normal(size=(4000, 8))
     x[:1500] = x[0] + 0.01 * x[:1500]
     lists = postings.fit(x, 4000)
-    _, home = lists.homes(vectors.unit(x))
+    _, home = lists.homes(vectors.unit(x), lists.between())
     assert np.bincount(home).max() < 12 * len(home) / len(lists.centroids)

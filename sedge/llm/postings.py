@@ -5,12 +5,13 @@ them is searched best first. A vector goes to its nearest list and, near a bound
 others that are not farther by more than a ratio and not hidden behind a nearer one. A
 query reads the lists within a distance ratio of its nearest, a ratio that is measured
 on the sample so that enough of true neighbours lie in the lists it reads, and goes on to
-the next lists while these hold fewer rows than it asks for. Long lists
-are dealt into blocks, and lists that many queries read into several tasks.
+the next lists while these hold fewer rows than it asks for. Equal vectors are one in
+the lists, with as many of their ids as a query can ask for. Long lists are dealt into
+blocks, and lists that many queries read into several tasks.
 
 Defined cases: vectors that are null, zero, not finite, or not of the most common length
 neither ask nor answer; a row is never its own neighbour, but a repeated row is another's;
-ties go to the smaller vec_id; with fewer candidates a query gets them all; other columns are ignored.
+ties go to the smaller vec_id, null last; with fewer candidates a query gets them all; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -151,15 +152,36 @@ def fit(x: np.ndarray, rows: int) -> Lists:
     return lists
 
 
+def classes_of(rows: DataFrame, k: int) -> DataFrame:
+    """(row, vec_id, v, n, members): one row per unlike vector, with its k + 1 members of least id and row, in that order.
+
+    ``row`` and ``vec_id`` are the first member's; no query asks for more than k + 1 of equal vectors.
+    Spark cuts each task's part of a group to k + 1 rows before the exchange, so a group of any size ships few.
+    """
+    key = F.xxhash64("v")
+    turn = F.row_number().over(Window.partitionBy("h", "v").orderBy(F.col("vec_id").asc_nulls_last(), "row"))
+    few = rows.withColumn("h", key).withColumn("turn", turn).where(F.col("turn") <= k + 1)
+    made = few.groupBy("h", "v").agg(F.array_sort(F.collect_list(F.struct("turn", "row", "vec_id"))).alias("members"))
+    return made.select(F.col("members")[0]["row"].alias("row"), F.col("members")[0]["vec_id"].alias("vec_id"), "v", F.size("members").alias("n"), "members")
+
+
 def search(table: DataFrame, asks: Column, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k nearest by cosine of each row for which ``asks`` (over vec_id) holds."""
-    rows = keep(vectors.valid(table), "vectors")
-    n = rows.count()
+    """(query_id, rank, vec_id, score) of the k nearest by cosine of each row for which ``asks`` (over vec_id) holds.
+
+    Equal vectors are searched for, and searched with, once.
+    """
+    rows = vectors.valid(table)
+    if "double" not in rows.schema["v"].dataType.simpleString():
+        rows = rows.withColumn("v", F.col("v").cast("array<float>"))
+    rows = keep(rows, "vectors")
+    kind = rows.schema["v"].dataType.simpleString()
+    classes = keep(classes_of(rows, k), "classes")
+    n = classes.count()
     spark = table.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
-    if n < 2:
+    if not n:
         return spark.createDataFrame([], out)
-    shared = spark.sparkContext.broadcast(fit(vectors.sample(rows), n))
+    shared = spark.sparkContext.broadcast(fit(vectors.sample(classes), n))
 
     def place(batches, held: np.ndarray | None = None):
         between = shared.value.between() if held is None else None
@@ -173,14 +195,17 @@ def search(table: DataFrame, asks: Column, k: int = 5) -> DataFrame:
                 home = np.arange(len(own)) < len(x)
                 yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), *got.columns, pa.array(home)], ["list", *got.schema.names, "home"])
 
-    schema = "list int, row long, vec_id long, v array<float>, home boolean"
-    rows = rows.withColumn("v", F.col("v").cast("array<float>")) if "double" not in rows.schema["v"].dataType.simpleString() else rows
-    schema = schema.replace("array<float>", rows.schema["v"].dataType.simpleString())
-    members = keep(rows.mapInArrow(lambda b: place(b), schema), "members")
+    schema = f"list int, row long, vec_id long, v {kind}, n int, home boolean"
+    columns = ["row", "vec_id", "v", "n"]
+    members = keep(classes.select(*columns).mapInArrow(lambda b: place(b), schema), "members")
     held = np.zeros(len(shared.value.centroids), dtype=np.int64)
-    for r in members.where("home").groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per list
+    for r in members.where("home").groupBy("list").agg(F.sum("n").alias("n")).collect():  # one row per list
         held[r.list] = r.n
-    queries = keep(rows.where(asks).mapInArrow(lambda b: place(b, held), schema), "queries")
+    asked_rows = rows.where(asks).withColumn("h", F.xxhash64("v"))
+    asked_classes = keep(asked_rows.groupBy("h", "v").agg(F.min("row").alias("row")), "asked")
+    asking = asked_rows.join(asked_classes.withColumnRenamed("row", "asked"), ["h", "v"]).select("asked", "row", "vec_id")
+    queries = asked_classes.select("row", F.lit(None).cast("long").alias("vec_id"), "v", F.lit(1).alias("n"))
+    queries = keep(queries.mapInArrow(lambda b: place(b, held), schema), "queries")
     sizes = members.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     asked = queries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).cast("int").alias("turns"))
     shape = keep(sizes.join(asked, "list"), "shape")
@@ -190,31 +215,38 @@ def search(table: DataFrame, asks: Column, k: int = 5) -> DataFrame:
 
     def answer(group: pa.Table) -> pa.Table:
         ask = group.column("query").to_numpy()
-        row, ids = group.column("row").to_numpy(), group.column("vec_id").to_numpy(zero_copy_only=False)
+        row, known = group.column("row").to_numpy(), group.column("vec_id").combine_chunks()
+        # Null ids come after all others.
+        ids = known.fill_null(np.iinfo(np.int64).max).to_numpy()
         x = vectors.matrix(group.column("v").combine_chunks())
         norm = np.sqrt((x * x).sum(axis=1))
         q, m = np.flatnonzero(ask), np.flatnonzero(~ask)
-        found: list[tuple] = []
         if len(q) and len(m):
             s = (x[q] / norm[q, None]) @ (x[m] / norm[m, None]).T
-            s[row[q][:, None] == row[m]] = -np.inf
-            kth = min(k, len(m))
+            kth = min(k + 1, len(m))
             least = np.partition(s, len(m) - kth, axis=1)[:, len(m) - kth]
-            i, j = np.nonzero((s >= least[:, None] - 1e-12) & np.isfinite(s))
+            i, j = np.nonzero(s >= least[:, None] - 1e-12)
             a, b = q[i], m[j]
             exact = np.clip((x[a] * x[b]).sum(axis=1) / (norm[a] * norm[b]), -1.0, 1.0)
             order = np.lexsort((row[b], ids[b], -exact, i))
             i = i[order]
-            turn = np.arange(len(i)) - np.searchsorted(i, i)
-            order = order[turn < k]
+            order = order[np.arange(len(i)) - np.searchsorted(i, i) <= k]
             a, b, exact = a[order], b[order], exact[order]
-            return pa.table({"query_row": row[a], "query_id": ids[a], "row": row[b], "vec_id": ids[b], "score": exact})
-        return pa.table({"query_row": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"asked": row[a], "row": row[b], "vec_id": known.take(pa.array(b)), "score": exact})
+        return pa.table({"asked": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
-    pairs = keyed.groupBy("list", "block", "turn").applyInArrow(answer, "query_row long, query_id long, row long, vec_id long, score double")
-    pairs = pairs.groupBy("query_row", "query_id", "row", "vec_id").agg(F.max("score").alias("score"))
-    nearest = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "row")
-    return pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    pairs = keyed.groupBy("list", "block", "turn").applyInArrow(answer, "asked long, row long, vec_id long, score double")
+    pairs = pairs.groupBy("asked", "row", "vec_id").agg(F.max("score").alias("score"))
+    first = lambda df: df.withColumn("turn", F.row_number().over(Window.partitionBy("asked").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "row"))).where(F.col("turn") <= k + 1)
+    # The k + 1 nearest rows lie in the k + 1 nearest classes: each row before one of a class has that class's first row before it.
+    several = classes.where("n > 1").select("row", "members")
+    alone = F.array(F.struct(F.lit(1).alias("turn"), "row", "vec_id"))
+    near = first(pairs).join(several, "row", "left").select("asked", "score", F.explode(F.coalesce("members", alone)).alias("m"))
+    near = first(near.select("asked", "score", "m.row", "m.vec_id"))
+    answers = near.groupBy("asked").agg(F.array_sort(F.collect_list(F.struct("turn", "row", "vec_id", "score"))).alias("near"))
+    own = asking.select("asked", F.col("row").alias("query_row"), F.col("vec_id").alias("query_id")).join(answers, "asked")
+    others = F.slice(F.filter("near", lambda x: x["row"] != F.col("query_row")), 1, k)
+    return own.select("query_id", F.posexplode(others).alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", "x.score")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ query reads the lists within a distance ratio of its nearest, a ratio that is me
 on the sample so that enough of true neighbours lie in the lists it reads, and goes on to
 the next lists while these hold fewer rows than it asks for. Equal vectors are one in
 the lists, with as many of their ids as a query can ask for. Long lists are dealt into
-blocks, and lists that many queries read into several tasks.
+blocks, short ones that lie side by side are answered for together, and those that many
+queries read go to several tasks.
 
 Defined cases: vectors that are null, zero, not finite, or not of the most common length
 neither ask nor answer; a row is never its own neighbour, but a repeated row is another's;
@@ -109,6 +110,21 @@ class Lists:
             read[few] |= more
         return np.nonzero(read)
 
+    def bundles(self, rows: np.ndarray) -> np.ndarray:
+        """The bundle of each list: lists side by side share one up to ``BLOCK`` rows; a longer list is one alone.
+
+        Tasks answer for bundles, so that a query's answers from near lists are merged where they are found.
+        """
+        coarse = vectors.kmeans(self.centroids, max(1, len(rows) // 16))
+        side = vectors.squared(self.centroids, coarse).argmin(axis=1)
+        out, at, held = np.zeros(len(rows), np.int32), 0, 0
+        for i in np.argsort(side, kind="stable").tolist():
+            if held and held + rows[i] > BLOCK:
+                at, held = at + 1, 0
+            out[i] = at
+            held += rows[i]
+        return out
+
 
 def navigable(c: np.ndarray) -> np.ndarray:
     """Each centroid's neighbours: nearest first, less those nearer to a chosen one, filled up with the nearest and one random link."""
@@ -152,6 +168,12 @@ def fit(x: np.ndarray, rows: int) -> Lists:
     return lists
 
 
+def parts(batches, rows: int = 512):
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def classes_of(rows: DataFrame, k: int) -> DataFrame:
     """(row, vec_id, v, n, members): one row per unlike vector, with its k + 1 members of least id and row, in that order.
 
@@ -183,35 +205,40 @@ def search(table: DataFrame, asks: Column, k: int = 5) -> DataFrame:
         return spark.createDataFrame([], out)
     shared = spark.sparkContext.broadcast(fit(vectors.sample(classes), n))
 
-    def place(batches, held: np.ndarray | None = None):
-        between = shared.value.between() if held is None else None
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                x = vectors.unit(vectors.matrix(part.column("v")))
-                own, lists = shared.value.homes(x, between) if held is None else shared.value.read(x, held, k + 1)
-                got = part.take(pa.array(own))
-                # A row's first list, its nearest, is its home.
-                home = np.arange(len(own)) < len(x)
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), *got.columns, pa.array(home)], ["list", *got.schema.names, "home"])
-
-    schema = f"list int, row long, vec_id long, v {kind}, n int, home boolean"
-    columns = ["row", "vec_id", "v", "n"]
-    members = keep(classes.select(*columns).mapInArrow(lambda b: place(b), schema), "members")
-    held = np.zeros(len(shared.value.centroids), dtype=np.int64)
-    for r in members.where("home").groupBy("list").agg(F.sum("n").alias("n")).collect():  # one row per list
-        held[r.list] = r.n
+    def home(batches):
+        between = shared.value.between()
+        for part in parts(batches):
+            own, lists = shared.value.homes(vectors.unit(vectors.matrix(part.column("v"))), between)
+            got = part.take(pa.array(own))
+            # A row's first list, its nearest, is its home.
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), *got.columns, pa.array(np.arange(len(own)) < len(part))], ["list", *got.schema.names, "home"])
+
+    members = keep(classes.select("row", "vec_id", "v", "n").mapInArrow(home, f"list int, row long, vec_id long, v {kind}, n int, home boolean"), "members")
+    held, size = np.zeros((2, len(shared.value.centroids)), dtype=np.int64)
+    for r in members.groupBy("list").agg(F.sum(F.when(F.col("home"), F.col("n"))).alias("n"), F.count(F.lit(1)).alias("size")).collect():  # one row per list
+        held[r.list], size[r.list] = r.n or 0, r.size
+    bundle = shared.value.bundles(size)
+
+    def read(batches):
+        for part in parts(batches):
+            own, lists = shared.value.read(vectors.unit(vectors.matrix(part.column("v"))), held, k + 1)
+            own, bundles = np.unique(np.stack([own, bundle[lists]]), axis=1)
+            got = part.take(pa.array(own))
+            yield pa.RecordBatch.from_arrays([pa.array(bundles, pa.int32()), *got.columns], ["bundle", *got.schema.names])
+
     asked_rows = rows.where(asks).withColumn("h", F.xxhash64("v"))
     asked_classes = keep(asked_rows.groupBy("h", "v").agg(F.min("row").alias("row")), "asked")
     asking = asked_rows.join(asked_classes.withColumnRenamed("row", "asked"), ["h", "v"]).select("asked", "row", "vec_id")
-    queries = asked_classes.select("row", F.lit(None).cast("long").alias("vec_id"), "v", F.lit(1).alias("n"))
-    queries = keep(queries.mapInArrow(lambda b: place(b, held), schema), "queries")
-    sizes = members.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    asked = queries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).cast("int").alias("turns"))
-    shape = keep(sizes.join(asked, "list"), "shape")
-    deal = lambda df, own, n, other, m: df.join(shape, "list").withColumn(own, F.pmod(F.xxhash64("row", "list"), F.col(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
-    both = deal(members, "block", "blocks", "turn", "turns").withColumn("query", F.lit(False)).unionByName(deal(queries, "turn", "turns", "block", "blocks").withColumn("query", F.lit(True)))
-    keyed = both.select("list", "block", "turn", "query", "row", "vec_id", "v")
+    queries = keep(asked_classes.select("row", "v").mapInArrow(read, f"bundle int, row long, v {kind}"), "queries")
+    blocks = np.maximum(1, np.ceil(np.bincount(bundle, size) / BLOCK)).astype(int)
+    where = spark.createDataFrame([(i, int(b), int(blocks[b])) for i, b in enumerate(bundle)], "list int, bundle int, blocks int")  # one row per list
+    asked = keep(queries.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).cast("int").alias("turns")), "turns")
+    shape = where.join(asked, "bundle")
+    deal = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("row"), F.col(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
+    columns = ["bundle", "block", "turn", "query", "row", "vec_id", "v"]
+    both = deal(members.join(F.broadcast(shape), "list"), "block", "blocks", "turn", "turns").withColumn("query", F.lit(False)).select(*columns)
+    asks_of = deal(queries.join(F.broadcast(shape.drop("list").distinct()), "bundle"), "turn", "turns", "block", "blocks")
+    keyed = both.unionByName(asks_of.withColumn("query", F.lit(True)).withColumn("vec_id", F.lit(None).cast("long")).select(*columns))
 
     def answer(group: pa.Table) -> pa.Table:
         ask = group.column("query").to_numpy()
@@ -221,6 +248,7 @@ def search(table: DataFrame, asks: Column, k: int = 5) -> DataFrame:
         x = vectors.matrix(group.column("v").combine_chunks())
         norm = np.sqrt((x * x).sum(axis=1))
         q, m = np.flatnonzero(ask), np.flatnonzero(~ask)
+        m = m[np.unique(row[m], return_index=True)[1]]  # a boundary row may be in several of a bundle's lists
         if len(q) and len(m):
             s = (x[q] / norm[q, None]) @ (x[m] / norm[m, None]).T
             kth = min(k + 1, len(m))
@@ -235,7 +263,7 @@ def search(table: DataFrame, asks: Column, k: int = 5) -> DataFrame:
             return pa.table({"asked": row[a], "row": row[b], "vec_id": known.take(pa.array(b)), "score": exact})
         return pa.table({"asked": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
-    pairs = keyed.groupBy("list", "block", "turn").applyInArrow(answer, "asked long, row long, vec_id long, score double")
+    pairs = keyed.groupBy("bundle", "block", "turn").applyInArrow(answer, "asked long, row long, vec_id long, score double")
     pairs = pairs.groupBy("asked", "row", "vec_id").agg(F.max("score").alias("score"))
     first = lambda df: df.withColumn("turn", F.row_number().over(Window.partitionBy("asked").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "row"))).where(F.col("turn") <= k + 1)
     # The k + 1 nearest rows lie in the k + 1 nearest classes: each row before one of a class has that class's first row before it.

@@ -5,9 +5,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from sedge.plans.registered import ORACLES, QUERIES
+from sedge.plans import registered, replies
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLES = registered.QUERIES | replies.QUERIES, registered.ORACLES | replies.ORACLES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_slices
+from .common import table, text_slices, trimmed
 
 #: Frequent words in the automaton, at most.
 LEXICON_WORDS = 131_072
@@ -361,7 +361,7 @@ def frequent_words(docs: DataFrame, tokenizer: Tokenizer, most: int = LEXICON_WO
                     yield part()
         yield part()
 
-    top = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(most)
+    top = docs.select("text").mapInArrow(trimmed(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(most)
     return [r.word for r in top.select("word").collect()]
 
 
@@ -393,7 +393,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, lexicon: bytes, columns: list[
                 arrays = [*part.columns[:-1], pa.array(n, pa.int64()), *[pa.array(x, pa.string()) for x in hashes], *[pa.array(x, pa.string()) for x, asked in zip(shown, (with_ids, with_text), strict=True) if asked]]
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return taken.mapInArrow(run, schema)
+    return taken.mapInArrow(trimmed(run), schema)
 
 
 def tokenizer_path() -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,6 +58,26 @@ def text_slices(batch: pa.RecordBatch, column: int, chars: int, rows: int = 1 <<
             at, held = i + 1, 0
 
 
+def trimmed(work):
+    """A worker's function over batches that gives freed memory back to the system as a task ends.
+
+    Workers live on from stage to stage; what one stage has freed would otherwise stay with them in the next.
+    """
+
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there, and it survives lost executors."""
     spark = df.sparkSession

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shielded, table, text_slices
+from .common import shielded, table, text_slices, trimmed
 
 UNKNOWN = "und"
 #: About so many labelled rows are learned from, chosen by a hash of their id.
@@ -233,7 +233,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], least: float | None
                 out = pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], schema.names)
                 yield out if least is None else out.filter(pa.array([x[0] != UNKNOWN and x[1] >= least for x in found], pa.bool_()))
 
-    return taken.mapInArrow(run, schema)
+    return taken.mapInArrow(trimmed(run), schema)
 
 
 def _held_out():

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_kept, keep, shielded, table
+from .common import drop_kept, keep, shielded, table, trimmed
 from .components import components
 
 WORDS = 5
@@ -248,7 +248,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     ["row", "doc_id", "n", "node", "keys", "counts"],
                 )
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, node long, keys array<long>, counts binary")
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(trimmed(run), "row long, doc_id long, n long, node long, keys array<long>, counts binary")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([h.tobytes() for h in shingles(part.column("text").to_pylist())], pa.binary())], ["node", "set"])
 
     texts = docs.select(F.monotonically_increasing_id().alias("row"), "text")
-    return texts.join(F.broadcast(wanted) if small else wanted, "row").select("node", "text").mapInArrow(run, "node long, set binary")
+    return texts.join(F.broadcast(wanted) if small else wanted, "row").select("node", "text").mapInArrow(trimmed(run), "node long, set binary")
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -282,7 +282,7 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(most >= needed(na, nb)))
 
     likely = F.expr(f"n_a * 100 >= n_b * {LEAST} and n_b * 100 >= n_a * {LEAST}")
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(likely).mapInArrow(run, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(likely).mapInArrow(trimmed(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -296,7 +296,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     of = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"s_{c}"))
-    out = keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long"), "verified")
+    out = keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(trimmed(run), "a long, b long"), "verified")
     drop_kept(sets)
     return out
 
@@ -454,10 +454,10 @@ def _tree_links(shared: DataFrame, nodes: DataFrame, parts: DataFrame, docs: Dat
         return node[a], node[b]
 
     points = _dealt(shared, nodes, parts).join(nodes.select("node", "n", "counts", "keys"), "node")
-    wanted = keep(_together(points.select(*columns, "n", "counts", "keys")).mapInArrow(_in_groups(likely, columns), "key long, i long, j long, own long, node long, component long"), "likely")
+    wanted = keep(_together(points.select(*columns, "n", "counts", "keys")).mapInArrow(trimmed(_in_groups(likely, columns)), "key long, i long, j long, own long, node long, component long"), "likely")
     sets = keep(_sets(docs, nodes, wanted.select(F.col("node").alias("a"), F.col("node").alias("b"))), "sets")
     whole = wanted.join(nodes.select("node", "n", "counts"), "node").join(sets, "node").select(*columns, "n", "counts", "set")
-    out = keep(_together(whole).mapInArrow(_in_groups(verified, ["a", "b"]), "a long, b long"), "links")
+    out = keep(_together(whole).mapInArrow(trimmed(_in_groups(verified, ["a", "b"])), "a long, b long"), "links")
     drop_kept(sets)
     drop_kept(wanted)
     return out

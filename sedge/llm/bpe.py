@@ -19,14 +19,17 @@ import hashlib
 import heapq
 import json
 import mmap
+import re
 import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -268,14 +271,34 @@ class Lexicon:
         return out
 
 
+#: Characters that the split of the basic plane doesn't know.
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+@functools.cache
+def basic_split(pattern: str) -> re.Pattern | None:
+    """The pattern with the classes in its brackets written out for the basic plane, which the plain engine runs twice as fast; None where more is escaped."""
+    every = "".join(map(chr, range(0x10000)))
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        spans = [(m.start(), m.end() - 1) for m in regex.finditer(f"{name}+", every, flags=regex.V0)]
+        written = "".join(f"\0{a:04x}-\0{b:04x}" for a, b in spans)
+        pattern = re.sub(r"\[[^\]]*\]", lambda m, n=name, w=written: m[0].replace(n, w), pattern)
+    return None if "\\" in pattern else re.compile(pattern.replace("\0", "\\u"))
+
+
 class Encoder:
     """Splits texts into words and encodes them through a lexicon, merging those it doesn't hold."""
 
     def __init__(self, tokenizer: Tokenizer, lexicon: Lexicon | None = None):
         self.tokenizer, self.lexicon = tokenizer, lexicon
-        self.split = regex.compile(tokenizer.pattern, flags=regex.V0).findall
+        self.split_any = regex.compile(tokenizer.pattern, flags=regex.V0).findall
+        basic = basic_split(tokenizer.pattern)
+        self.split = basic.findall if basic else self.split_any
         self.special = regex.compile("|".join(map(regex.escape, tokenizer.special))) if tokenizer.special else None
-        self.seen: dict[str, tuple[int, str, str]] = {}
+        self.names, self.numbers = pa.array(tokenizer.tokens, pa.string()), pa.array(map(str, range(len(tokenizer.tokens))), pa.string())
+        #: What words encode to: ids, and tokens, as text.
+        self.seen: dict[str, str] = {}
+        self.shown: dict[str, str] = {}
 
     def words(self, text: str) -> list[str]:
         """Words of a text; a special token's string is a word of its own, marked by a null character before it."""
@@ -292,48 +315,61 @@ class Encoder:
             text = unicodedata.normalize("NFC", text)
             # Each character by itself: no rule for a sigma at a word's end.
             text = "σ".join(x.lower() for x in text.split("Σ"))
-        else:
-            text = text.lower()
-        return self.split(text)
+            return (self.split_any if _BEYOND.search(text) else self.split)(text)
+        return self.split(text.lower())
 
-    def ids_of(self, words: list[str]) -> list[list[int]]:
+    def flat_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and the ids of all words one after the other."""
         data = [w.encode() for w in words]
-        out: list = [None] * len(words)
-        rest = list(range(len(words)))
-        if self.lexicon is not None:
-            at = self.lexicon.find(data)
-            offsets, ids = self.lexicon.offsets, self.lexicon.ids
-            for i in np.flatnonzero(at >= 0).tolist():
-                out[i] = ids[offsets[at[i]] : offsets[at[i] + 1]].tolist()
-            rest = np.flatnonzero(at < 0).tolist()
-        for i, got in zip(rest, self.tokenizer.merge([data[i] for i in rest]), strict=True):
-            out[i] = got
-        return out
+        at = self.lexicon.find(data) if self.lexicon is not None else np.full(len(words), -1, dtype=np.int64)
+        held, rest = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        merged = self.tokenizer.merge([data[i] for i in rest.tolist()])
+        sizes, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        sizes[rest] = [len(x) for x in merged]
+        start[rest] = np.cumsum(sizes[rest]) - sizes[rest]
+        ids = np.fromiter(chain.from_iterable(merged), np.int64)
+        if len(held):
+            offsets = self.lexicon.offsets
+            start[held] = offsets[at[held]]
+            sizes[held] = offsets[at[held] + 1] - start[held]
+            start[rest] += len(self.lexicon.ids)
+        place = np.arange(sizes.sum()) + np.repeat(start - (np.cumsum(sizes) - sizes), sizes)
+        if not len(held):
+            return sizes, ids[place]
+        out, own = np.empty(len(place), np.int64), place < len(self.lexicon.ids)
+        out[own], out[~own] = self.lexicon.ids[place[own]], ids[place[~own] - len(self.lexicon.ids)]
+        return sizes, out
+
+    def ids_of(self, words: list[str]) -> list[list[int]]:
+        sizes, ids = self.flat_ids(words)
+        return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] if len(words) else []
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Remember what new words encode to: number of ids, ids and tokens as text."""
-        new = [w for w in words if w not in self.seen]
+    def learn(self, words: set[str]) -> None:
+        """Remember what new words encode to, ids and tokens as text."""
+        new = words.difference(self.seen)
         if len(self.seen) + len(new) > REMEMBERED_WORDS:
             self.seen.clear()
-            new = list(dict.fromkeys(words))
-        plain = [w for w in new if not w.startswith("\0") or w[1:] not in self.tokenizer.special]
-        names = self.tokenizer.tokens
+            self.shown.clear()
+            new = words
+        special = [w for w in new if w[0] == "\0" and w[1:] in self.tokenizer.special]
+        plain = list(new.difference(special) if special else new)
         for a in range(0, len(plain), 20_000):
             part = plain[a : a + 20_000]
-            for w, ids in zip(part, self.ids_of(part), strict=True):
-                self.seen[w] = (len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids]))
-        for w in set(new).difference(plain):
-            self.seen[w] = (1, str(self.tokenizer.special[w[1:]]), w[1:])
+            sizes, ids = self.flat_ids(part)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            for kept, texts in ((self.seen, self.numbers), (self.shown, self.names)):
+                kept.update(zip(part, pc.binary_join(pa.ListArray.from_arrays(offsets, texts.take(pa.array(ids))), " ").to_pylist(), strict=True))
+        for w in special:
+            self.seen[w], self.shown[w] = str(self.tokenizer.special[w[1:]]), w[1:]
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """For each text the number of ids, the ids and the decoded text, ids and tokens joined by a space."""
         for a in range(0, len(texts), 256):
             split = [self.words(t or "") for t in texts[a : a + 256]]
             self.learn(set().union(*split))
-            seen = self.seen
             for words in split:
-                got = [seen[w] for w in words]
-                yield sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
+                ids = " ".join(map(self.seen.__getitem__, words))
+                yield (ids.count(" ") + 1 if ids else 0), ids, " ".join(map(self.shown.__getitem__, words))
 
     def encode(self, text: str | None) -> list[int]:
         return [int(x) for x in next(self.encode_batch([text]))[1].split()]

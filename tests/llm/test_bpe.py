@@ -71,3 +71,18 @@ def test_defined_cases(spark):
     out = bpe.encoded(df, ["doc_id"]).collect()
     assert [r.n_tokens for r in out] == [0, 0, 0] and len({r.ids_sha256 for r in out}) == 1
     assert bpe.encoded(df.where("false"), ["doc_id"]).count() == 0
+
+
+def test_split_written_out_for_the_basic_plane_equals_the_library_engine():
+    import regex
+
+    from sedge.llm.bpe import Encoder, Tokenizer, basic_split, tokenizer_path
+
+    tokenizer = Tokenizer.load(tokenizer_path())
+    assert basic_split(tokenizer.pattern) is not None and basic_split(r"\p{L}+|[\s]") is None
+    encoder, want = Encoder(tokenizer), regex.compile(tokenizer.pattern, flags=regex.V0).findall
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for text in (*(f"{c}a{c}1{c} '{c}s{c}" for c in every), "don't 'sd ''ll", "\U0001d400b \U0001f642x 𝟘1"):
+        text = text.lower()
+        assert (encoder.split_any if max(text) > "￿" else encoder.split)(text) == want(text)
+    assert encoder.encode("a 🙂b'll") == [x for w in want("a 🙂b'll") for x in encoder.ids_of([w])[0]]

@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ FIRST = 3
 NEIGHBOURS = 15
 EVIDENCE = 3
 BATCH = 512
+#: Words whose terms a worker remembers.
+REMEMBERED_WORDS = 200_000
 #: Weight of the prior among the votes.
 PRIOR_VOTES = 0.5
 EVIDENCE_TYPE = T.ArrayType(T.StructType().add("doc_id", T.LongType()).add("cosine", T.DoubleType()).add("toxic", T.IntegerType()))
@@ -53,32 +56,42 @@ def terms_of_word(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
 
 
-class TermCounter:
-    """Counts the terms of texts; what words stand for is remembered for a bounded number of words."""
+class Known(dict):
+    """The terms of words, of a vocabulary's if there is one; remembered for a bounded number of words."""
 
     def __init__(self, vocabulary: dict[str, int] | None = None):
-        self.vocabulary, self.known = vocabulary, {}
-
-    def ids(self, word: str):
-        got = self.known.get(word)
-        if got is None:
+        super().__init__()
+        self.vocabulary = vocabulary
+        # All terms of a word begin with its own first letters.
+        self.heads = None if vocabulary is None else {t.rstrip("*")[: PREFIXES[0]] for t in vocabulary}
+
+    def __missing__(self, word: str):
+        got: list | tuple = ()
+        if self.vocabulary is None:
             got = terms_of_word(word)
-            if self.vocabulary is not None:
-                got = [self.vocabulary[t] for t in got if t in self.vocabulary]
-            if len(self.known) > 200_000:
-                self.known.clear()
-            self.known[word] = got
+        elif word[: PREFIXES[0]] in self.heads:
+            got = [self.vocabulary[t] for t in terms_of_word(word) if t in self.vocabulary] or ()
+        if len(self) > REMEMBERED_WORDS:
+            self.clear()
+        self[word] = got
         return got
 
+
+class TermCounter:
+    """Counts the terms of texts."""
+
+    def __init__(self, vocabulary: dict[str, int] | None = None):
+        self.ids = Known(vocabulary).__getitem__
+
+    def terms(self, text: str | None) -> Iterator:
+        """The terms of each word of a text, one after the other."""
+        return chain.from_iterable(map(self.ids, _WORD.findall((text or "").lower())))
+
     def __call__(self, text: str | None) -> dict:
-        out: dict = {}
-        for word, n in Counter(_WORD.findall((text or "").lower())).items():
-            for t in self.ids(word):
-                out[t] = out.get(t, 0) + n
-        return out
+        return Counter(self.terms(text))
 
     def present(self, text: str | None) -> set:
-        return set().union(*map(self.ids, set(_WORD.findall((text or "").lower()))))
+        return set(self.terms(text))
 
 
 @dataclass

@@ -26,6 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -314,8 +315,44 @@ def corpus_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarr
     return out[:-1], int(out[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Index:
-    """``labels`` has doc_id and toxic; ``docs`` has doc_id and text and is the corpus."""
+def term_counts(docs: DataFrame, vocabulary: list[str], columns: list[str]) -> DataFrame:
+    """``columns`` with each text's terms (``_at``) and how often it has them (``_n``)."""
+    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})
+    kind = T.ArrayType(T.IntegerType())
+    taken = docs.select(*columns, F.col("text").alias("_text"))
+    schema = taken.drop("_text").schema.add("_at", kind).add("_n", kind)
+
+    def run(batches):
+        count = TermCounter(shared.value)
+        for batch in batches:
+            for a in range(0, batch.num_rows, BATCH):
+                part = batch.slice(a, BATCH)
+                counts = [count(t.as_py()) for t in part.column(part.num_columns - 1)]
+                start = pa.array(np.cumsum([0, *map(len, counts)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(start, pa.array([x for c in counts for x in of(c)], pa.int32())) for of in (dict.keys, dict.values)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *lists], schema.names)
+
+    return taken.mapInArrow(run, schema)
+
+
+def summed(counted: DataFrame, terms: int) -> tuple[np.ndarray, int]:
+    """What ``corpus_frequencies`` gives, from the documents' own terms."""
+
+    def run(batches):
+        sums = np.zeros(terms + 1, dtype=np.int64)
+        for batch in batches:
+            sums[:-1] += np.bincount(batch.column(0).flatten().to_numpy(), minlength=terms)
+            sums[-1] += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)], ["term", "n"])
+
+    got = counted.select("_at").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(terms + 1, dtype=np.int64)
+    out[got.column("term").to_numpy()] = got.column("n").to_numpy()
+    return out[:-1], int(out[-1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, frequencies=corpus_frequencies) -> Index:
+    """``labels`` has doc_id and toxic; ``docs`` has doc_id and text and is the corpus, whose ``frequencies`` are asked for."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
@@ -332,7 +369,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     chi = (a * (n0 - b) - b * (n1 - a)) ** 2 * (n1 + n0) / (n1 * n0 * (a + b) * (n1 + n0 - a - b) + 1e-9)
     chosen = per.where(a + b >= LEAST_DF).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.col("chi").desc(), "term")
     terms = [r.term for r in chosen.select("term").collect()]
-    df, n = corpus_frequencies(docs, terms)
+    df, n = frequencies(docs, terms)
     idf = np.log((n + 1) / (df + 1)) + 1
     vocabulary = {t: i for i, t in enumerate(terms)}
     shared = docs.sparkSession.createDataFrame(pa.table({"term": pa.array(terms, pa.string()), "at": pa.array(np.arange(len(terms)), pa.int64())}))
@@ -362,11 +399,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     return index
 
 
-def score(docs: DataFrame, index: Index, columns: list[str]) -> DataFrame:
-    """Adds score, predicted and evidence (nearest examples: doc_id, cosine, toxic) to ``columns``."""
+def score(docs: DataFrame, index: Index, columns: list[str], counted: bool = False) -> DataFrame:
+    """Adds score, predicted and evidence (nearest examples: doc_id, cosine, toxic) to ``columns``; ``counted`` documents come from ``term_counts``."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    taken = docs.select(*columns, F.col("text").alias("_text"))
-    schema = taken.drop("_text").schema.add("score", "double").add("predicted", T.IntegerType()).add("evidence", EVIDENCE_TYPE)
+    taken = docs.select(*columns, *(["_at", "_n"] if counted else [F.col("text").alias("_text")]))
+    schema = taken.drop("_text", "_at", "_n").schema.add("score", "double").add("predicted", T.IntegerType()).add("evidence", EVIDENCE_TYPE)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -377,12 +414,18 @@ def score(docs: DataFrame, index: Index, columns: list[str]) -> DataFrame:
                 part = batch.slice(a, BATCH)
                 raw, seen = np.full(part.num_rows, index.prior), [[]] * part.num_rows
                 if len(index.ids):
-                    who, best = index.nearest(index.vector([count(t.as_py()) for t in part.column(part.num_columns - 1)]), NEIGHBOURS)
+                    if counted:
+                        at, n = part.columns[-2:]
+                        start = np.cumsum([0, *pc.list_value_length(at).to_pylist()]).astype(np.int64)
+                        vectors = index.unit(start, at.flatten().to_numpy().astype(np.int64), n.flatten().to_numpy().astype(np.float64))
+                    else:
+                        vectors = index.vector([count(t.as_py()) for t in part.column(part.num_columns - 1)])
+                    who, best = index.nearest(vectors, NEIGHBOURS)
                     raw = index.voted(who, best)
                     seen = [[(int(index.ids[w]), float(c), int(index.labels[w])) for w, c in zip(ws, cs, strict=True) if c > 0] for ws, cs in zip(who[:, :EVIDENCE], best[:, :EVIDENCE], strict=True)]
                 p = index.calibrated(raw) if index.prior else np.zeros(part.num_rows)
                 evidence = pa.array([[{"doc_id": d, "cosine": c, "toxic": t} for d, c, t in x] for x in seen], kind)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32)), evidence], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(schema) - 3], pa.array(p), pa.array((p >= 0.5).astype(np.int32)), evidence], schema.names)
 
     return taken.mapInArrow(run, schema)
 
@@ -393,8 +436,16 @@ def _held_out() -> Column:
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~_held_out()))
-    return score(docs.withColumn("held_out", _held_out()), index, ["doc_id", "held_out"]).select("doc_id", "held_out", "score", "predicted", "evidence")
+    columns, made = ["doc_id", "held_out"], []
+
+    def frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
+        made.append(keep(term_counts(docs.withColumn("held_out", _held_out()), terms, columns), "counts"))
+        return summed(made[0], len(terms))
+
+    index = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~_held_out()), frequencies)
+    # Texts are split once; without labels of both kinds there are no terms and nothing was counted.
+    scored = score(made[0], index, columns, counted=True) if made else score(docs.withColumn("held_out", _held_out()), index, columns)
+    return scored.select("doc_id", "held_out", "score", "predicted", "evidence")
 
 
 QUERIES = {"op4_toxicity": op4}
